@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, packing, pii
+from . import bpe, chat, fingerprint, packing, pii, topk
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
@@ -20,6 +24,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -32,13 +41,28 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_fingerprint": op4_fingerprint,
     "op5_bpe": op5_bpe,
     "op7_pii": op7_pii,
+    "op8_topk": op8_topk,
     "op9_packing": op9_packing,
     "op10_chat": op10_chat,
 }
 
 ORACLE_SQL = {
+    "op8_topk": """
+        with v as (
+          select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+          from embeddings
+          where embedding is not null and len(embedding) > 0
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        scored as (
+          select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+          from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+        ranked as (
+          select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+        select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5
+    """,
     "op10_chat": r"""
         with rows_ as (
           select conv_id, turn, role, text from conversations
