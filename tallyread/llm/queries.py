@@ -5,13 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprint, packing, pii, topk
+from . import bpe, chat, fingerprint, html_extract, packing, pii, topk, warc
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivative_digests(table(spark, sf_dir, "pages"))
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -41,6 +49,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_html": op2_html,
     "op4_fingerprint": op4_fingerprint,
     "op5_bpe": op5_bpe,
     "op7_pii": op7_pii,
@@ -49,7 +59,67 @@ QUERIES = {
     "op10_chat": op10_chat,
 }
 
+def _warc_sql() -> str:
+    """Both records of every page, put together from macros in plain SQL."""
+    urn = "'urn:uuid:' || h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-a' || h[18:20] || '-' || h[21:32]"
+    text = "regexp_replace(html, '(?s)<!--.*?(-->|\\z)', '', 'g')"
+    for name in warc.DROPPED_ELEMENTS:
+        text = f"regexp_replace({text}, '(?is)<{name}\\b[^>]*>.*?(</{name}\\s*>|\\z)', ' ', 'g')"
+    text = f"regexp_replace({text}, '[\\s]+', ' ', 'g')"
+    text = f"regexp_replace({text}, '(?i)</?({warc.LINE_ELEMENTS})\\b[^>]*>', chr(10), 'g')"
+    text = f"regexp_replace({text}, '<[a-zA-Z/!?][^>]*>', '', 'g')"
+    decoded = """array_to_string(list_transform(string_split(stripped, '&#'), lambda p, i:
+        case when i = 1 then p
+        when regexp_matches(p, '^[0-9]{1,7};') then
+          chr(case when try_cast(regexp_extract(p, '^([0-9]+);', 1) as integer) between 1 and 1114111
+            and try_cast(regexp_extract(p, '^([0-9]+);', 1) as integer) not between 55296 and 57343
+            then try_cast(regexp_extract(p, '^([0-9]+);', 1) as integer) else 65533 end)
+          || regexp_replace(p, '^[^;]*;', '')
+        else '&#' || p end), '')"""
+    for name, character in warc.NAMED:
+        quoted = character.replace("'", "''")
+        decoded = f"replace({decoded}, '{name}', '{quoted}')"
+    tidy = decoded
+    for pattern, by in (("[ \\t\\r\\f]+", "' '"), (" ?\\n[ \\n]*", "chr(10)"), ("^[ \\n]+|[ \\n]+$", "''")):
+        tidy = f"regexp_replace({tidy}, '{pattern}', {by}, 'g')"
+    return f"""
+      with source as (
+        select coalesce(url, '') as uri, coalesce(html, '') as html,
+          sha256('page|' || coalesce(page_id::varchar, '')) as h from pages),
+      named as (select *, {urn} as source_id from source),
+      ided as (select *,
+          (select {urn} from (select sha256(source_id || '|metadata') as h)) as metadata_id,
+          (select {urn} from (select sha256(source_id || '|conversion') as h)) as conversion_id,
+          'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+            || 'Content-Length: ' || strlen(html) as http,
+          {text} as stripped from named),
+      texts as (select *, {tidy} as plain, 'sha256:' || sha256(html) as payload_digest,
+          'sha256:' || sha256(http || chr(13) || chr(10) || chr(13) || chr(10) || html) as source_digest from ided),
+      fields as (select *, replace(
+          'source-record: ' || source_id || '~source-block-digest: ' || source_digest
+          || '~source-payload-digest: ' || payload_digest || '~conversion-record: ' || conversion_id
+          || '~http-status: 200~http-headers:~ ', '~', chr(13) || chr(10))
+          || replace(http, chr(13) || chr(10), chr(13) || chr(10) || ' ') || chr(13) || chr(10) as meta from texts),
+      records as (
+        select 'metadata' as warc_type, metadata_id as record_id, source_id as refers_to, uri as target_uri,
+          payload_digest, meta as block, 'application/warc-fields' as media from fields
+        union all
+        select 'conversion', conversion_id, source_id, uri, payload_digest, plain,
+          'text/plain; charset=utf-8' from fields),
+      digested as (select *, 'sha256:' || sha256(block) as block_digest, strlen(block) as content_length from records)
+      select warc_type, record_id, refers_to, target_uri, block_digest, content_length,
+        sha256(replace('WARC/1.1~WARC-Type: ' || warc_type || '~WARC-Record-ID: <' || record_id
+          || '>~WARC-Refers-To: <' || refers_to || '>~WARC-Refers-To-Target-URI: ', '~', chr(13) || chr(10)) || target_uri
+          || replace('~WARC-Refers-To-Date: 2024-01-01T00:00:00Z~WARC-Target-URI: ', '~', chr(13) || chr(10)) || target_uri
+          || replace('~WARC-Date: 2024-01-01T00:00:00Z~WARC-Source-Payload-Digest: ' || payload_digest
+          || '~WARC-Block-Digest: ' || block_digest || '~Content-Type: ' || media
+          || '~Content-Length: ' || content_length || '~~', '~', chr(13) || chr(10))) as header_sha256
+      from digested
+    """
+
+
 ORACLE_SQL = {
+    "op1_warc": _warc_sql(),
     "op8_topk": """
         with v as (
           select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v
