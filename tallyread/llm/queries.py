@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprint, html_extract, packing, pii, topk, warc
+from . import bpe, chat, fingerprint, html_extract, jaccard_join, packing, pii, topk, warc
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -20,6 +20,10 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_html": op2_html,
+    "op3_jaccard": op3_jaccard,
     "op4_fingerprint": op4_fingerprint,
     "op5_bpe": op5_bpe,
     "op7_pii": op7_pii,
@@ -120,6 +125,29 @@ def _warc_sql() -> str:
 
 ORACLE_SQL = {
     "op1_warc": _warc_sql(),
+    "op3_jaccard": r"""
+        with recursive words as (
+          select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '') as w from documents),
+        grams as (
+          select distinct doc_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')]
+            else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g
+          from words where len(w) > 0),
+        sets as (select doc_id, count(*) as n from grams group by doc_id),
+        links as (
+          select a.doc_id as x, b.doc_id as y
+          from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id
+          join sets sa on sa.doc_id = a.doc_id join sets sb on sb.doc_id = b.doc_id
+          group by a.doc_id, b.doc_id, sa.n, sb.n
+          having count(*) >= 0.8 * (sa.n + sb.n - count(*)) - 1e-9),
+        reach as (
+          select x, y from links
+          union
+          select r.x, l.y from reach r join links l on r.y = l.x),
+        least as (select x, min(y) as y from reach group by x),
+        counts as (select x, count(*) as n from links group by x)
+        select d.doc_id, least(d.doc_id, coalesce(l.y, d.doc_id)) as class_id, coalesce(c.n, 0) as n_links
+        from documents d left join least l on l.x = d.doc_id left join counts c on c.x = d.doc_id
+    """,
     "op8_topk": """
         with v as (
           select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v
