@@ -432,6 +432,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 
 
 def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD, recall: float = 0.9999) -> DataFrame:
-    """The documents that stand for their class: those whose doc_id is their class_id."""
-    kept = jaccard_join(docs, threshold, recall).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].cast("long") == F.col("kept_id"), "left_semi").select(*docs.columns)
+    """The documents without those whose class has a smaller doc_id; rows without a doc_id
+    stay."""
+    found = jaccard_join(docs, threshold, recall)
+    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprint, html_extract, jaccard_join, packing, pii, topk, warc
+from . import bpe, chat, fingerprint, html_extract, jaccard_join, packing, pii, topk, toxicity, warc
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -32,6 +32,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op3_jaccard": op3_jaccard,
     "op4_fingerprint": op4_fingerprint,
     "op5_bpe": op5_bpe,
+    "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
     "op8_topk": op8_topk,
     "op9_packing": op9_packing,
