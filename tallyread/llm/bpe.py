@@ -7,8 +7,8 @@ rank file, whose merges are recovered on the driver.
 Encoding works on *chunks*.  A piece of the split pattern never holds a space after its
 first character unless it is all white space, so a text cut before each single space has
 the pieces of its chunks, provided that no chunk is empty or has white space at an end.
-Each worker keeps a bounded dictionary from chunk to ids and hands only unseen chunks to
-the library; a text with a run of white space takes the split pattern itself.
+Each worker keeps the ids of the latest chunks and hands only unseen chunks to the
+library; a text with a run of white space takes the split pattern itself.
 
 Defined results: null text is the empty text (no ids); repeated rows give repeated
 results; other columns are ignored; texts are never cut.
@@ -20,6 +20,7 @@ import base64
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,9 @@ from .common import whole_text
 SPLIT_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
-#: Chunks kept by a worker, and the longest chunk that is kept.
-CACHE_CHUNKS = 300_000
-CACHE_CHARS = 48
+#: Chunks of a generation of those that a worker keeps, and the longest that it keeps.
+CACHE_CHUNKS = 400_000
+LONG_CHUNK = 64
 
 
 def byte_to_char() -> list[str]:
@@ -117,7 +118,9 @@ class Codec:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
         self.pieces = regex.compile(pattern)
-        self.spaced: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes | None] = {}
+        self.long: list[str] = []
+        self.older: dict[str, bytes | None] = {}
         self.plain: dict[str, bytes] = {}
         back = {letter: byte for byte, letter in enumerate(byte_to_char())}
         vocabulary = self.tokenizer.get_vocab()
@@ -131,48 +134,72 @@ class Codec:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.token_bytes), dtype=np.uint8)
 
-    def _learn(self, known: dict, unseen: set[str], prefix: str) -> dict[str, bytes]:
-        """Encode chunks, keep the short ones, return all of them."""
-        chunks = list(unseen)
-        if len(known) + len(chunks) > CACHE_CHUNKS:
-            known.clear()
-        got = self.tokenizer.encode_batch_fast(
-            [prefix + c for c in chunks], add_special_tokens=False
-        )
-        learned = {c: np.array(g.ids, dtype="<u4").tobytes() for c, g in zip(chunks, got)}
-        if len(known) + len(learned) <= CACHE_CHUNKS:
-            known.update((c, ids) for c, ids in learned.items() if len(c) <= CACHE_CHARS)
-        return learned
-
-    def _joined(self, known: dict, chunks: list[str], prefix: str) -> bytes | None:
-        """Ids of chunks in a row; None if a chunk to be prefixed is not safe."""
-        found = list(map(known.get, chunks))
-        if None in found:
-            unseen = {c for c, ids in zip(chunks, found) if ids is None}
-            if prefix and not all(c and not c[0].isspace() and not c[-1].isspace() for c in unseen):
-                return None
-            kept = {c: ids for c, ids in zip(chunks, found) if ids is not None}
-            kept |= self._learn(known, unseen, prefix)
-            found = [kept[c] for c in chunks]
-        return b"".join(found)
+    def _turn_over(self) -> None:
+        """Keep the two latest generations of short chunks; called between runs of texts."""
+        for chunk in self.long:
+            self.spaced.pop(chunk, None)
+            self.plain.pop(chunk, None)
+        self.long.clear()
+        if len(self.spaced) > CACHE_CHUNKS:
+            self.older, self.spaced = self.spaced, {}
+        if len(self.plain) > CACHE_CHUNKS:
+            self.plain = {}
+
+    def _learn_spaced(self, unseen: set[str]) -> None:
+        """Ids of chunks with a space before them; None for a chunk that is not safe.
+
+        Unseen chunks are encoded as one text and told apart by the lengths of their
+        tokens' bytes.
+        """
+        known, fresh = self.spaced, []
+        self.long += [c for c in unseen if len(c) > LONG_CHUNK]
+        for chunk in unseen:
+            if chunk in self.older:
+                known[chunk] = self.older[chunk]
+            elif chunk and not chunk[0].isspace() and not chunk[-1].isspace():
+                fresh.append(chunk)
+            else:
+                known[chunk] = None
+        for at in range(0, len(fresh), 4_096):
+            part = fresh[at : at + 4_096]
+            got = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+            ids = np.array(got[0].ids, dtype="<u4")
+            ends = np.cumsum([len(c.encode()) + 1 for c in part])
+            stops = 4 * (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1)
+            data, start = ids.tobytes(), 0
+            for chunk, stop in zip(part, stops.tolist()):
+                known[chunk] = data[start:stop]
+                start = stop
 
     def _encode_pieces(self, text: str) -> bytes:
-        return self._joined(self.plain, self.pieces.findall(text), "")
+        """A text by its pieces alone."""
+        pieces = self.pieces.findall(text)
+        unseen = list(set(pieces).difference(self.plain))
+        if unseen:
+            self.long += [p for p in unseen if len(p) > LONG_CHUNK]
+            got = self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False)
+            for piece, encoded in zip(unseen, got):
+                self.plain[piece] = np.array(encoded.ids, dtype="<u4").tobytes()
+        return b"".join(map(self.plain.__getitem__, pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        self._turn_over()
+        bodies = [text.rstrip(" \t\r\n") for text in texts]
+        chunked = [body.split(" ") for body in bodies]
+        heads = [chunks.pop(0) for chunks in chunked]
+        self._learn_spaced(set(chain.from_iterable(chunked)).difference(self.spaced))
         out: list[bytes] = []
-        for text in texts:
-            body = text.rstrip(" \t\r\n")
-            head, *rest = body.split(" ")
-            ids = None
-            if not head or not head[-1].isspace():
-                ids = self._joined(self.spaced, rest, " ")
-            if ids is None:
+        for text, body, head, rest in zip(texts, bodies, heads, chunked):
+            found = list(map(self.spaced.__getitem__, rest))
+            if None in found or (head and head[-1].isspace()):
                 out.append(self._encode_pieces(text))
             else:
-                tail = self._encode_pieces(text[len(body) :])
-                out.append(self._encode_pieces(head) + ids + tail)
+                tail = text[len(body) :]
+                found.insert(0, self._encode_pieces(head))
+                if tail:
+                    found.append(self._encode_pieces(tail))
+                out.append(b"".join(found))
         return out
 
     def decode_bytes(self, ids: bytes) -> bytes:
