@@ -89,8 +89,10 @@ def read_number(raw: Column, strict: bool = False) -> Column:
 
         def value(d: Column) -> Column:
             prefix = F.regexp_extract(_decimal_point(d), r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", 0)
-            number = F.when(prefix != "", prefix).try_cast("double")
-            return F.when(F.rlike(d, F.lit(r"\d")) & (F.abs(number) < float("inf")), number)
+            number = let(prefix, lambda digits: F.when(digits != "", digits).cast("double"))
+            return F.when(
+                F.rlike(d, F.lit(r"\d")), let(number, lambda x: F.when(F.abs(x) < float("inf"), x))
+            )
 
         found = let(digits, value)
         return F.when(minus, -found).otherwise(found)
@@ -131,13 +133,14 @@ def is_only_number(text: Column, decimals: int | None = None) -> Column:
 
 def make_date(year: Column, month: Column, day: Column) -> Column:
     """A calendar date, null if there is no such day; years below 100 are of this century."""
-    full = F.when(year < 100, year + 2000).otherwise(year)
-    stamp = F.try_make_timestamp_ntz(full, month, day, F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)"))
-    return stamp.cast("date")
+    nought = F.lit(0).cast("decimal(8,6)")
+    full = let(year, lambda y: F.when(y < 100, y + 2000).otherwise(y))
+    return F.try_make_timestamp_ntz(full, month, day, F.lit(0), F.lit(0), nought).cast("date")
 
 
 def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("int")
+    found = F.regexp_extract(text, pattern, group)
+    return let(found, lambda digits: F.when(digits != "", digits).cast("int"))
 
 
 def _day_first(first: Column, second: Column, notation: Notation) -> tuple[Column, Column]:
@@ -183,7 +186,8 @@ def read_leading_date(text: Column, notation: Notation, year: Column | int | Non
 
         def shape(date: Column, pattern: str) -> Column:
             length = skipped + F.length(F.regexp_extract(t, pattern, 0))
-            return F.when(date.isNotNull(), F.struct(date.alias("date"), length.cast("int").alias("length")))
+            found = lambda d: F.when(d.isNotNull(), F.struct(d.alias("date"), length.cast("int").alias("length")))
+            return F.when(F.rlike(t, F.lit(pattern)), let(date, found))
 
         iso = make_date(*(_part(t, LEADING_ISO, g) for g in (1, 2, 3)))
         shapes = [shape(iso, LEADING_ISO), shape(_numeric_date(t, LEADING_DELIMITED, notation), LEADING_DELIMITED)]
