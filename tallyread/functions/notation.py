@@ -105,8 +105,7 @@ def find_numbers(text: Column, decimals: int | None = None) -> Column:
     """Numbers in a line, in order: array of (value, raw, index from 0)."""
     token = number_token(decimals)
 
-    def found(raws: Column) -> Column:
-        gaps = F.split(text, token, -1)
+    def found(raws: Column, gaps: Column) -> Column:
         return F.transform(
             indices(F.size(raws)),
             lambda i: F.struct(
@@ -119,7 +118,10 @@ def find_numbers(text: Column, decimals: int | None = None) -> Column:
             ),
         )
 
-    every = let(F.regexp_extract_all(text, F.lit(token), F.lit(0)), found)
+    every = let(
+        F.split(text, token, -1),
+        lambda gaps: let(F.regexp_extract_all(text, F.lit(token), F.lit(0)), lambda raws: found(raws, gaps)),
+    )
     return F.filter(every, lambda n: n["value"].isNotNull())
 
 

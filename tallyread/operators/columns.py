@@ -115,11 +115,13 @@ def _share_for(profile: Column, rule: RoleRule) -> Column:
 def assign_roles(profiles: Column, rules: Sequence[RoleRule]) -> Column:
     """A role per column, null where none is earned; rules in order, taken columns leave."""
 
-    def apply(roles: Column, rule: RoleRule) -> Column:
+    def apply(own: Column, roles: Column, rule: RoleRule) -> Column:
         def open_shares(held: Column) -> Column:
             return F.transform(
-                profiles,
-                lambda p, i: F.when(at(held, i).isNull() & (_share_for(p, rule) >= rule.minimum), _share_for(p, rule)),
+                own,
+                lambda p, i: F.when(
+                    at(held, i).isNull(), let(_share_for(p, rule), lambda s: F.when(s >= rule.minimum, s))
+                ),
             )
 
         def taken(held: Column) -> Column:
@@ -135,10 +137,13 @@ def assign_roles(profiles: Column, rules: Sequence[RoleRule]) -> Column:
 
         return let(roles, taken)
 
-    roles = F.transform(profiles, lambda p: F.lit(None).cast("string"))
-    for rule in rules:
-        roles = apply(roles, rule)
-    return roles
+    def assigned(own: Column) -> Column:
+        roles = F.transform(own, lambda p: F.lit(None).cast("string"))
+        for rule in rules:
+            roles = apply(own, roles, rule)
+        return roles
+
+    return let(profiles, assigned)
 
 
 @dataclass(frozen=True)
@@ -206,10 +211,12 @@ def find_row_anomalies(rows: Column, options: SignatureOptions) -> Column:
     else:
         is_judged = lambda c: c.isin(*judged) if judged else F.lit(False)
 
-    def judge(profiles: Column) -> Column:
+    def judge(own: Column, profiles: Column) -> Column:
         def with_kinds(kinds: Column) -> Column:
-            columns = F.filter(indices(F.size(profiles)), is_judged)
+            judged_columns = F.filter(indices(F.size(profiles)), is_judged)
+            return let(judged_columns, lambda columns: with_columns(kinds, columns))
 
+        def with_columns(kinds: Column, columns: Column) -> Column:
             def row_anomaly(row: Column) -> Column:
                 each = F.transform(
                     columns,
@@ -219,12 +226,15 @@ def find_row_anomalies(rows: Column, options: SignatureOptions) -> Column:
                 )
                 return at(F.filter(each, lambda a: a.isNotNull()), 0)
 
-            return F.transform(rows, row_anomaly)
+            return F.transform(own, row_anomaly)
 
         return let(dominant_kinds(profiles, shares_by_kind(options)), with_kinds)
 
-    found = let(profile_columns(rows, options.kind_of, options.sample_limit), judge)
-    return F.when(F.size(rows) >= options.minimum_rows, found)
+    def learned(own: Column) -> Column:
+        profiles = profile_columns(own, options.kind_of, options.sample_limit)
+        return F.when(F.size(own) >= options.minimum_rows, let(profiles, lambda p: judge(own, p)))
+
+    return let(rows, learned)
 
 
 def describe_anomaly(anomaly: Column) -> Column:

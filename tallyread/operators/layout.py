@@ -37,15 +37,15 @@ def _as_gap(gap: Column | float) -> Column:
 
 def column_boundaries(items: Column, gap: Column | float = GAPS["points"]) -> Column:
     """Cuts wherever neighbouring left edges of the page are further apart than the gap."""
-    wide = _as_gap(gap)
     edges = F.array_sort(F.transform(F.filter(items, lambda i: ~is_blank(i["text"])), lambda i: i["x"]))
-    return let(
-        edges,
-        lambda xs: F.transform(
+
+    def cut(xs: Column, wide: Column) -> Column:
+        return F.transform(
             F.filter(indices(F.size(xs)), lambda i: (i > 0) & (at(xs, i) - at(xs, i - 1) > wide)),
             lambda i: (at(xs, i - 1) + at(xs, i)) / F.lit(2.0),
-        ),
-    )
+        )
+
+    return let(edges, lambda xs: let(_as_gap(gap), lambda wide: cut(xs, wide)))
 
 
 def boundaries_from_anchors(anchors: Column) -> Column:
@@ -96,9 +96,9 @@ def boundaries_from_recurrence(
         )
     )
     filled = F.size(F.filter(rows, lambda r: F.size(r["items"]) > 0))
-    needed = F.greatest(F.lit(LEAST_ROWS), half_up(filled * F.lit(float(minimum_support))))
+    least = F.greatest(F.lit(LEAST_ROWS), half_up(filled * F.lit(float(minimum_support))))
 
-    def cut(bands: Column) -> Column:
+    def cut(bands: Column, needed: Column) -> Column:
         strong = F.transform(
             F.filter(indices(F.size(bands)), lambda i: at(bands, i)["support"] >= needed), lambda i: i
         )
@@ -120,7 +120,7 @@ def boundaries_from_recurrence(
 
         return let(strong, keep)
 
-    return let(_bands(edges, wide), cut)
+    return let(least, lambda needed: let(_bands(edges, wide), lambda bands: cut(bands, needed)))
 
 
 def dropped_bands(rows: Column, minimum_support: float = LEAST_SUPPORT, gap: Column | float = GAPS["points"]) -> Column:
@@ -229,7 +229,7 @@ def row_to_cells(row: Column, boundaries: Column) -> Column:
 
 def cells_of(rows: Column, boundaries: Column) -> Column:
     """All rows' cells."""
-    return F.transform(rows, lambda row: row_to_cells(row, boundaries))
+    return let(boundaries, lambda cuts: F.transform(rows, lambda row: row_to_cells(row, cuts)))
 
 
 def place_of(items: Column, page: Column) -> Column:
@@ -244,7 +244,10 @@ def place_of(items: Column, page: Column) -> Column:
 
 def places_of(rows: Column, boundaries: Column, page: Column) -> Column:
     """Where the cells of all rows lie, laid out as the cells are."""
-    return F.transform(rows, lambda row: _by_column(row, boundaries, lambda items: place_of(items, page)))
+    return let(
+        boundaries,
+        lambda cuts: F.transform(rows, lambda row: _by_column(row, cuts, lambda items: place_of(items, page))),
+    )
 
 
 def items_array(texts: Column, xs: Column, ys: Column, widths: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import at
+from ..functions.arrays import at, let
 from ..functions.notation import Notation, is_only_number, read_leading_date, read_number
 from ..operators.columns import KindThreshold, SignatureOptions, cell_at, find_row_anomalies
 from ..operators.contract import MONEY, REVIEW_ROWS
@@ -117,23 +117,37 @@ class StatementReader:
             self.repair = self._turn_last
 
     def read(self, documents: DataFrame) -> Column:
-        rows = documents["rows"]
-        flags = F.coalesce(documents["anomalies"], F.transform(rows, lambda r: F.lit(None).cast("struct<cause:string,column:int,expected:string,kind:string>")))
-        zipped = F.transform(
-            rows,
-            lambda r, i: F.struct(
-                read_leading_date(cell_at(r, 0), FRENCH)["date"].alias("date"),
-                cell_at(r, 1).alias("label"),
-                F.when(is_only_number(cell_at(r, 2), 2), read_number(cell_at(r, 2)).cast(MONEY)).alias("amount"),
-                at(flags, i).isNotNull().alias("odd"),
-            ),
-        )
-        records = F.filter(zipped, lambda z: ~z["odd"] & z["date"].isNotNull() & z["amount"].isNotNull())
-        declared = F.filter(zipped, lambda z: z["odd"] & z["amount"].isNotNull())
-        return F.struct(
-            F.transform(records, lambda z: F.struct(z["date"].alias("date"), z["label"].alias("label"), z["amount"].alias("amount"))).alias("records"),
-            F.struct(F.transform(declared, lambda z: z["amount"]).alias("declared"), F.size(rows).alias("n_rows")).alias("header"),
-        )
+        none = F.array().cast("array<struct<cause:string,column:int,expected:string,kind:string>>")
+
+        def entries(rows: Column) -> Column:
+            def with_flags(flags: Column) -> Column:
+                def entry(r: Column, i: Column) -> Column:
+                    amount = let(cell_at(r, 2), lambda c: F.when(is_only_number(c, 2), read_number(c).cast(MONEY)))
+                    return F.struct(
+                        read_leading_date(cell_at(r, 0), FRENCH)["date"].alias("date"),
+                        cell_at(r, 1).alias("label"),
+                        amount.alias("amount"),
+                        at(flags, i).isNotNull().alias("odd"),
+                    )
+
+                return F.transform(rows, entry)
+
+            return let(F.coalesce(documents["anomalies"], none), with_flags)
+
+        def reading(every: Column) -> Column:
+            records = F.filter(every, lambda z: ~z["odd"] & z["date"].isNotNull() & z["amount"].isNotNull())
+            declared = F.filter(every, lambda z: z["odd"] & z["amount"].isNotNull())
+            return F.struct(
+                F.transform(
+                    records,
+                    lambda z: F.struct(z["date"].alias("date"), z["label"].alias("label"), z["amount"].alias("amount")),
+                ).alias("records"),
+                F.struct(F.transform(declared, lambda z: z["amount"]).alias("declared"), F.size(every).alias("n_rows")).alias(
+                    "header"
+                ),
+            )
+
+        return let(let(documents["rows"], entries), reading)
 
     def self_check(self, reading: Column) -> Column:
         seen = F.aggregate(reading["records"], F.lit(0).cast(MONEY), lambda s, r: (s + r["amount"]).cast(MONEY))

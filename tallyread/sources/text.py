@@ -43,6 +43,7 @@ def delimiter_of(lines: Column) -> Column:
         )
 
     def rule(l: Column) -> Column:
+        # Conditions stand outside of lambdas, so that each is computed once for a document.
         aligned = count_where(l, lambda line: F.contains(line, F.lit("  "))) >= F.size(l) / F.lit(2.0)
         refused = (F.size(l) < 2) | F.exists(l, lambda line: F.contains(line, F.lit('"')))
         out = F.lit(None).cast("string")
@@ -57,9 +58,7 @@ def delimiter_of(lines: Column) -> Column:
 def aligned_fields(line: Column, y: Column) -> Column:
     """Fields parted by two blanks or tabs, each at the character where it starts."""
 
-    def placed(parts: Column) -> Column:
-        marks = F.regexp_extract_all(line, F.lit(ALIGNED_SEPARATOR), F.lit(0))
-
+    def placed(parts: Column, marks: Column) -> Column:
         def field(part: Column, i: Column) -> Column:
             before = total(F.transform(F.slice(parts, F.lit(1), i), F.length)) + total(
                 F.transform(F.slice(marks, F.lit(1), i), F.length)
@@ -75,7 +74,8 @@ def aligned_fields(line: Column, y: Column) -> Column:
 
         return F.filter(F.transform(parts, field), lambda f: f["text"] != "")
 
-    return let(F.split(line, ALIGNED_SEPARATOR, -1), placed)
+    marks = F.regexp_extract_all(line, F.lit(ALIGNED_SEPARATOR), F.lit(0))
+    return let(marks, lambda m: let(F.split(line, ALIGNED_SEPARATOR, -1), lambda parts: placed(parts, m)))
 
 
 def delimited_fields(line: Column, delimiter: Column, y: Column) -> Column:
