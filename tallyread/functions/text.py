@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 WS = r"\t\n\x0B\f\r\x20\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 
+#: The same characters, for functions that take a set of characters.
+WS_SET = "".join(map(chr, [*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+
+
 def trim_left(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WS}]+", "")
+    return F.ltrim(text, F.lit(WS_SET))
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(text, F.lit(WS_SET))
 
 
 def collapse(text: Column) -> Column:
     """Trimmed, with each run of white space as one blank."""
-    return trim(F.regexp_replace(text, f"[{WS}]+", " "))
+    return trim(F.regexp_replace(text, rf"[{WS}]{{2,}}|[\t\n\x0B\f\r\xA0\x{{1680}}-\x{{FEFF}}&&[{WS}]]", " "))
 
 
 def is_blank(text: Column) -> Column:
