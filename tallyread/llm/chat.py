@@ -44,46 +44,51 @@ def unescape(text: Column) -> Column:
 def root_to_leaf_paths(messages: DataFrame) -> DataFrame:
     """(tree_id, leaf_id, path): node ids from root to leaf of every leaf.
 
-    Round i holds for each node the ancestor 2**i above it and the nodes between; leaves
-    extend by those until they meet a root.  The number of rounds is the logarithm of the
-    greatest depth; each round cuts its lineage by a written table.
+    Round i holds for each node the ancestor 2**i above it and the nodes between; only
+    nodes that have not met their root go on, and leaves extend by the same table.  The
+    number of rounds is the logarithm of the greatest depth; each round cuts its lineage
+    by a written table.  A node whose way is longer than its tree is in a cycle and goes.
     """
     nodes = messages.select("tree_id", "node_id", "parent_id")
     parents = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("has_parent"))
-    linked = nodes.join(parents, ["tree_id", "parent_id"], "left").select(
-        "tree_id", "node_id", F.when(F.col("has_parent"), F.col("parent_id")).alias("up")
-    )
-    inner = linked.where("up is not null").select("tree_id", F.col("up").alias("node_id")).distinct()
-    jump = materialise(linked.withColumn("between", F.array("node_id")))
-    paths = materialise(
-        jump.join(inner, ["tree_id", "node_id"], "left_anti").select(
-            "tree_id", F.col("node_id").alias("leaf_id"), "up", F.col("between").alias("path")
+    sizes = nodes.groupBy("tree_id").agg(F.count(F.lit(1)).alias("tree_nodes"))
+    linked = materialise(
+        nodes.join(parents.distinct(), ["tree_id", "parent_id"], "left")
+        .join(sizes, "tree_id")
+        .select(
+            "tree_id",
+            "node_id",
+            F.when(F.col("has_parent"), F.col("parent_id")).alias("up"),
+            "tree_nodes",
+            F.array("node_id").alias("between"),
         )
     )
-    bound = max(1, nodes.count())
-    reach = 1
-    while reach <= bound and not paths.where("up is not null").isEmpty():
-        above = jump.select(
+    inner = linked.where("up is not null").select("tree_id", F.col("up").alias("node_id")).distinct()
+    leaves = linked.join(inner, ["tree_id", "node_id"], "left_anti")
+    met = linked.where("up is null").select("tree_id", "node_id", "up", "between")
+    going = linked.where("up is not null")
+    done, open_paths = None, materialise(leaves)
+    while True:
+        finished = open_paths.where("up is null").select("tree_id", F.col("node_id").alias("leaf_id"), F.col("between").alias("path"))
+        done = finished if done is None else done.unionByName(finished)
+        open_paths = open_paths.where("up is not null")
+        if open_paths.isEmpty():
+            return done
+        above = met.unionByName(going.select(*met.columns)).select(
             "tree_id", F.col("node_id").alias("up"), F.col("up").alias("next_up"), F.col("between").alias("above")
         )
-        paths = materialise(
-            paths.join(above, ["tree_id", "up"], "left").select(
-                "tree_id",
-                "leaf_id",
-                F.col("next_up").alias("up"),
-                F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", "path")).alias("path"),
-            )
-        )
-        jump = materialise(
-            jump.join(above, ["tree_id", "up"], "left").select(
-                "tree_id",
-                "node_id",
-                F.col("next_up").alias("up"),
-                F.when(F.col("above").isNull(), F.col("between")).otherwise(F.concat("above", "between")).alias("between"),
-            )
-        )
-        reach *= 2
-    return paths.where("up is null").select("tree_id", "leaf_id", "path")
+        open_paths = _extended(open_paths, above)
+        extended = _extended(going, above)
+        met = met.unionByName(extended.where("up is null").select(*met.columns))
+        going = extended.where("up is not null")
+
+
+def _extended(ways: DataFrame, above: DataFrame) -> DataFrame:
+    """Ways that go on from where they stand by their upper node's own way."""
+    longer = ways.join(above, ["tree_id", "up"]).select(
+        "tree_id", "node_id", F.col("next_up").alias("up"), "tree_nodes", F.concat("above", "between").alias("between")
+    )
+    return materialise(longer.where(F.size("between") <= F.col("tree_nodes")))
 
 
 def formatted_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
@@ -91,12 +96,23 @@ def formatted_paths(messages: DataFrame, branches: int | None = None) -> DataFra
 
     ``branches`` keeps the best-scored paths of each tree; None keeps all.
     """
-    paths = root_to_leaf_paths(messages)
-    steps = paths.select("tree_id", "leaf_id", F.posexplode("path").alias("place", "node_id"))
+    steps = materialise(
+        root_to_leaf_paths(messages).select("tree_id", "leaf_id", F.posexplode("path").alias("place", "node_id"))
+    )
+    worth = messages.select("tree_id", "node_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
+    best = Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf_id")
+    ranked = (
+        steps.join(worth, ["tree_id", "node_id"])
+        .groupBy("tree_id", "leaf_id")
+        .agg(F.sum("score").alias("score"))
+        .withColumn("branch", F.row_number().over(best))
+    )
+    if branches is not None:
+        ranked = ranked.where(F.col("branch") <= branches)
+    ranked = materialise(ranked)
     said = messages.select(
         "tree_id",
         "node_id",
-        F.coalesce("score", F.lit(0.0)).cast("double").alias("score"),
         F.concat(
             F.lit(TURN_OPEN),
             escape(F.coalesce("role", F.lit(""))),
@@ -105,23 +121,16 @@ def formatted_paths(messages: DataFrame, branches: int | None = None) -> DataFra
             F.lit(CLOSE),
         ).alias("turn"),
     )
+    chosen = steps.join(ranked.select("tree_id", "leaf_id"), ["tree_id", "leaf_id"], "left_semi")
     whole = (
-        steps.join(said, ["tree_id", "node_id"])
+        chosen.join(said, ["tree_id", "node_id"])
         .groupBy("tree_id", "leaf_id")
-        .agg(
-            F.sum("score").alias("score"),
-            F.array_sort(F.collect_list(F.struct("place", "turn"))).alias("turns"),
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("place", "turn"))).alias("turns"))
         .select(
-            "tree_id",
-            "leaf_id",
-            "score",
-            F.concat(F.lit(OPEN), F.array_join(F.col("turns.turn"), "")).alias("formatted"),
+            "tree_id", "leaf_id", F.concat(F.lit(OPEN), F.array_join(F.col("turns.turn"), "")).alias("formatted")
         )
     )
-    ranked = Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf_id")
-    out = whole.withColumn("branch", F.row_number().over(ranked))
-    return out if branches is None else out.where(F.col("branch") <= branches)
+    return ranked.join(whole, ["tree_id", "leaf_id"])
 
 
 def read_back(formatted: Column) -> Column:
