@@ -112,16 +112,21 @@ def test_kit(spark):
     assert [r["failure"] for r in kit.failures(results).collect()] == ["1. expected verdict (off): expected read, got needs-review"]
 
 
-class Slow:
-    def open(self, data):
-        import time
+def slow_engine():
+    """Made here, so that it travels to the workers by value."""
 
-        def pages():
-            for _ in range(3):
-                time.sleep(0.05)
-                yield 1.0, 1.0, []
+    class Slow:
+        def open(self, data):
+            import time
 
-        return 3, pages()
+            def pages():
+                for _ in range(3):
+                    time.sleep(0.05)
+                    yield 1.0, 1.0, []
+
+            return 3, pages()
+
+    return Slow()
 
 
 @pytest.mark.parametrize(
@@ -132,7 +137,7 @@ class Slow:
         ("a.PDF", b"%PDF-1.4 nonsense", {"engine": PlainPdfEngine()}, "not-opened"),
         ("a.pdf", pdf_with_text([]).encode(), {"engine": PlainPdfEngine()}, "no-text"),
         ("a.pdf", b"%PDF-1.4", {}, "no-engine"),
-        ("a.pdf", b"%PDF-1.4", {"engine": Slow(), "limits": Limits(deadline_milliseconds=20)}, "too-slow"),
+        ("a.pdf", b"%PDF-1.4", {"engine": slow_engine(), "limits": Limits(deadline_milliseconds=20)}, "too-slow"),
     ],
 )
 def test_refusals(spark, name, data, options, reason):
