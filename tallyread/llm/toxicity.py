@@ -478,12 +478,16 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
         .agg(F.max("toxic").cast("int").alias("toxic"))
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    short = texts.where(F.length("text").between(1, SAMPLE_CHARS))
-    rows = short.join(named, "doc_id")
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
-    got = []
+    sizes = texts.select("doc_id", F.length("text").alias("size")).groupBy("doc_id").agg(F.max("size").alias("size"))
+    fit_for = named.join(sizes.where(F.col("size").between(1, SAMPLE_CHARS)), "doc_id")
+    chosen = []
     for toxic, most in ((1, SAMPLE), (0, SAMPLE_OTHERS)):
-        got += rows.where(F.col("toxic") == toxic).orderBy(*order).limit(most).select("text", "toxic").collect()
+        first = fit_for.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        chosen += [(r["doc_id"], toxic) for r in first.select("doc_id").collect()]
+    # The chosen ids are at most SAMPLE + SAMPLE_OTHERS; with them texts are fetched by a scan.
+    ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    got = sorted(rows.collect(), key=lambda r: (r["toxic"], r["doc_id"]))
     return [(r["text"], r["toxic"]) for r in got]
 
 
