@@ -52,6 +52,7 @@ BOILERPLATE = re.compile(
     r"complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
+HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 FAVOURED = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|body|text|main)(?:$|[\s_-])", re.I)
 ELEMENT_WEIGHT = {"article": 1.5, "main": 1.3, "body": 0.7, "html": 0.6}
 #: The least share of a page's good text in a container that gets votes, and the paths
@@ -192,6 +193,7 @@ def blocks(container: Node) -> list[str]:
             out.append(text)
         current.clear()
 
+    headed = container.tag not in ("html", "body")
     # Entries to come: a text, a node, or None for the end of a block.
     stack: list[Node | str | None] = list(reversed(container.children))
     while stack:
@@ -200,7 +202,8 @@ def blocks(container: Node) -> list[str]:
             flush()
         elif isinstance(item, str):
             current.append(item)
-        elif item.tag == "header" and not item.hidden:
+        elif headed and not item.hidden and (item.tag == "header" or HEADER.search(item.marks)):
+            # An article's own header gives its headings; what else it says is no text.
             flush()
             stack.append(None)
             stack.extend(reversed([c for c in item.children if isinstance(c, Node) and c.tag in _HEADING]))
