@@ -39,8 +39,8 @@ from .common import whole_text
 WINDOW = 32
 STRIDE = WINDOW // 2
 LETTERS = 12
-SAMPLE = 800
-SAMPLE_OTHERS = 1_200
+SAMPLE = 600
+SAMPLE_OTHERS = 900
 SAMPLE_CHARS = 6_000
 FOLDS = 5
 EVIDENCE_BITS = 18
@@ -315,7 +315,7 @@ def _evidence(seen: list[np.ndarray], labels: np.ndarray, rows: np.ndarray) -> n
     return np.where(a + b > 0, np.clip(z, -6, 9) / 3, 0).astype(np.float32)
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 0, rounds: int = 4, epochs: int = 3, rate: float = 0.01) -> Network:
+def fit(texts: list[str], labels: list[int], seed: int = 0, rounds: int = 3, epochs: int = 2, rate: float = 0.01) -> Network:
     """Fit a network on whole texts and their labels."""
     labels = np.asarray(labels, np.int64)
     if not len(labels) or labels.min() == labels.max():
