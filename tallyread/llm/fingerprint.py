@@ -17,26 +17,20 @@ rows give repeated results; other columns are ignored; whole texts are read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import let, whole_text
 
 WORDS = 5
-BINS = 64
+BIN_BITS = 6
+BINS = 1 << BIN_BITS
 #: Bits of a drawn sample's identity, and of its value while bins choose.
 SAMPLE_BITS, VALUE_BITS = 25, 32
 #: Documents of a range of ids, about, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 1_000, 20_000
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def terms(text: Column) -> Column:
     """Hashes of all runs of five words, repeats included."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
@@ -53,27 +47,21 @@ def terms(text: Column) -> Column:
     )
 
 
-def weighted(hashes: Column) -> Column:
-    """Array of (k, w): the distinct terms and how often each occurs."""
-
-    def counted(s: Column) -> Column:
-        first = F.filter(
-            F.sequence(F.lit(0), F.size(s) - 1),
-            lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)),
-        )
-        return let(
-            first,
-            lambda at: F.transform(
-                at,
-                lambda p, j: F.struct(
-                    F.get(s, p).alias("k"),
-                    (F.coalesce(F.get(at, j + 1), F.size(s)) - p).alias("w"),
-                ),
+def counted(s: Column) -> Column:
+    """Array of (k, w) from sorted terms: the distinct ones and how often each occurs."""
+    first = F.filter(
+        F.sequence(F.lit(0), F.greatest(F.size(s), F.lit(1)) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
+    )
+    return let(
+        first,
+        lambda at: F.transform(
+            at,
+            lambda p, j: F.struct(
+                F.get(s, p).alias("k"),
+                (F.coalesce(F.get(at, j + 1), F.size(s)) - p).alias("w"),
             ),
-        )
-
-    empty = F.array().cast("array<struct<k:bigint,w:int>>")
-    return let(F.sort_array(hashes), lambda s: F.when(F.size(s) == 0, empty).otherwise(counted(s)))
+        ),
+    )
 
 
 def _unit(bits: Column) -> Column:
@@ -89,39 +77,66 @@ def _low(h: Column) -> Column:
     return h.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+def _key(k: Column, value: Column, t: Column | None) -> Column:
+    """Bin, sample value and identity in one sortable number.  The bits of k are random
+    already: its lowest choose the bin, the next ones with t name the sample."""
+    scaled = F.floor((value + 128.0) * float(1 << (VALUE_BITS - 8))).cast("long")
+    kept = F.least(F.greatest(scaled, F.lit(0).cast("long")), F.lit((1 << VALUE_BITS) - 1))
+    identity = F.shiftrightunsigned(k, BIN_BITS)
+    if t is not None:
+        identity = identity.bitwiseXOR(t * F.lit(2654435761).cast("long"))
+    return (
+        F.shiftleft(k.bitwiseAND(F.lit(BINS - 1)), VALUE_BITS + SAMPLE_BITS)
+        .bitwiseOR(F.shiftleft(kept, SAMPLE_BITS))
+        .bitwiseOR(identity.bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1)))
+    )
+
+
+def _variates(k: Column) -> tuple[Column, Column, Column]:
+    """r, ln c and b of a term."""
+    h = F.xxhash64(k, F.lit(2))
+    rate = -F.log(_unit(_high(k)) * _unit(_low(k)))
+    log_c = F.log(-F.log(_unit(_high(h)) * _unit(_low(h))))
+    return rate, log_c, _unit(_high(F.xxhash64(k, F.lit(3))))
+
+
+def _draw_single(k: Column) -> Column:
+    """The sample of a term of weight 1, where ln w = 0 and so t = 0."""
+    rate, log_c, shift = _variates(k)
+    return _key(k, log_c - rate * (F.lit(1.0) - shift), None)
+
+
 def _draw(k: Column, w: Column) -> Column:
-    """A term's bin, sample value and identity in one sortable number."""
-    h1, h2, h3 = (F.xxhash64(k, F.lit(seed)) for seed in (1, 2, 3))
-    rate = -F.log(_unit(_high(h1)) * _unit(_low(h1)))
-    log_c = F.log(-F.log(_unit(_high(h2)) * _unit(_low(h2))))
-    shift = _unit(_high(h3))
+    """The sample of a term of any weight."""
+    rate, log_c, shift = _variates(k)
 
-    def key(r: Column) -> Column:
+    def with_rate(r: Column) -> Column:
         step = F.floor(F.log(w.cast("double")) / r + shift)
+        return let(step, lambda t: _key(k, log_c - r * (t - shift + 1.0), t))
 
-        def of(t: Column) -> Column:
-            value = log_c - r * (t - shift + 1.0)
-            scaled = F.floor((value + 128.0) * float(1 << (VALUE_BITS - 8))).cast("long")
-            kept = F.least(F.greatest(scaled, F.lit(0).cast("long")), F.lit((1 << VALUE_BITS) - 1))
-            identity = F.xxhash64(k, t).bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1))
-            own_bin = _low(h3).bitwiseAND(F.lit(BINS - 1))
-            return (
-                F.shiftleft(own_bin, VALUE_BITS + SAMPLE_BITS)
-                .bitwiseOR(F.shiftleft(kept, SAMPLE_BITS))
-                .bitwiseOR(identity)
-            )
+    return let(rate, with_rate)
+
+
+def drawn(hashes: Column) -> Column:
+    """The samples of all distinct terms; texts that repeat none take the short way."""
 
-        return let(step, of)
+    def of(s: Column) -> Column:
+        distinct = F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1)))
+        return let(
+            distinct,
+            lambda d: F.when(F.size(d) == F.size(s), F.transform(d, _draw_single)).otherwise(
+                F.transform(counted(s), lambda x: _draw(x["k"], x["w"]))
+            ),
+        )
 
-    return let(rate, key)
+    return let(F.sort_array(hashes), of)
 
 
 def samples(text: Column) -> Column:
     """The fingerprint as an array: for each filled bin, its number and its sample."""
-    drawn = F.transform(weighted(terms(text)), lambda x: _draw(x["k"], x["w"]))
     bin_of = lambda x: F.shiftrightunsigned(x, VALUE_BITS + SAMPLE_BITS)
     return let(
-        F.sort_array(drawn),
+        F.sort_array(drawn(terms(text))),
         lambda s: F.transform(
             F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1)))),
             lambda x: F.shiftleft(bin_of(x), SAMPLE_BITS).bitwiseOR(
