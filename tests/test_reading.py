@@ -169,12 +169,16 @@ def test_explain(spark):
 def test_folder_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text("a;b\nc;d")
-    (tmp_path / "in" / "b.txt").write_text("")
-    got = []
-    sink = lambda tables, refusals, number: got.append((tables.collect(), refusals.collect()))
-    run = read_folder(spark, str(tmp_path / "in"), sink, str(tmp_path / "state"))
+    (tmp_path / "in" / "b.txt").write_text("x" * 50)
+    rows, reasons = [], []
+
+    def sink(tables, refusals, number):
+        rows.extend(r["rows"] for r in tables.collect())
+        reasons.extend(r["reason"] for r in refusals.collect())
+
+    run = read_folder(spark, str(tmp_path / "in"), sink, str(tmp_path / "state"), Limits(maximum_bytes=20))
     run.awaitTermination(120)
-    assert got[0][0][0]["rows"] == [["a", "b"], ["c", "d"]] and got[0][1][0]["reason"] == "empty"
+    assert rows == [[["a", "b"], ["c", "d"]]] and reasons == ["too-big"]
 
 
 def test_sql_functions(spark):
