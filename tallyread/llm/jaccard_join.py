@@ -9,10 +9,10 @@ sets' Jaccard similarity reaches the threshold.
    that estimates the similarity.
 3. Chosen paths: in each run, a value of the embedding takes the set down a path if the
    hash of (path, place, value) falls below a fixed share, so that similar sets go down
-   the same paths.  Buckets of two to ``BUCKET`` sets are compared by brute force; a
-   larger one is split again on a further value, or, where most of its sets would go
-   down one path together, compared as it is in blocks.  Runs repeat until a pair at the
-   threshold is met with probability ``recall``.
+   the same paths.  Buckets of two to ``BUCKET`` sets are compared by brute force (on
+   their embeddings); a larger one is split again on a further value, or, where most of
+   its sets would go down one path together, taken as near one another as it is.  Runs
+   repeat until a pair at the threshold is met with probability ``recall``.
 4. Sets that a bucket finds near (estimate above the threshold less ``MARGIN``) are joined
    to cells: the connected components, of which true links never leave one.
 5. Each cell compares its members' whole n-gram sets exactly, in blocks.
@@ -32,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +48,11 @@ THRESHOLD = 0.8
 EMBEDDING = 128
 #: Expected number of paths that a set goes down at each node.
 CHOSEN = 4.0
-#: Sets that one task compares with each other; larger buckets and cells go in blocks.
+#: Sets that one task compares with each other; larger buckets are split, larger cells go
+#: in blocks.
 BUCKET = 400
 MARGIN = 0.15
-#: Splits after the first; what is still large then is compared in blocks.
+#: Splits after the first; what is still large then is taken as it is.
 DEPTH = 3
 #: Cells' members up to which they are broadcast to the scan of texts.
 BROADCAST_ROWS = 200_000
@@ -254,13 +256,11 @@ def components(edges: DataFrame) -> DataFrame:
 def _near_in_bucket(least_equal: int) -> Callable:
     def work(group: pa.Table):
         ids = group.column(1).to_numpy()
-        side = group.column(2).to_numpy()
-        values = _embeddings(group.column(3))
-        n = len(ids)
-        near = np.zeros((n, n), bool)
-        for i in range(n):
+        values = _embeddings(group.column(2))
+        near = np.zeros((len(ids), len(ids)), bool)
+        for i in range(len(ids)):
             near[i] = (values == values[i]).sum(1) >= least_equal
-        return ids, local_roots(near & ((side == 0)[:, None] | (side[:, None] != side[None, :])), ids)
+        return ids, local_roots(near, ids)
 
     return work
 
@@ -296,33 +296,32 @@ def cells(classes: DataFrame, recall: float, threshold: float) -> DataFrame:
     ddl = "group long, id long, parent long"
     vectors = classes.select("id", "embedding")
     frontier = materialise(vectors.mapInArrow(first, ddl))
-    leaves = []
+    small, taken = [], []
     for depth in range(DEPTH + 1):
-        sizes = frontier.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.min("parent").alias("parent")).where("size > 1")
-        sized = materialise(frontier.select("group", "id").join(sizes.select("group", "size"), "group"))
-        leaves.append(sized.where(F.col("size") <= BUCKET))
+        sizes = frontier.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("root")).where("size > 1")
+        sized = materialise(frontier.select("group", "id").join(sizes, "group"))
+        small.append(sized.where(F.col("size") <= BUCKET).select(F.col("group").alias("key"), "id"))
         large = sized.where(F.col("size") > BUCKET)
         if large.isEmpty():
             break
         if depth == DEPTH:
-            leaves.append(large)
+            taken.append(large)
             break
         split = materialise(large.join(vectors, "id").select("id", "embedding", "group").mapInArrow(further, ddl))
-        # A bucket most of which would go down one path together is compared as it is.
+        # A bucket most of which would go down one path together is taken as it is.
         children = split.groupBy("parent", "group").agg(F.count(F.lit(1)).alias("n"))
         most = children.groupBy("parent").agg(F.max("n").alias("most")).select(F.col("parent").alias("group"), "most")
         judged = materialise(large.select("group", "size").distinct().join(most, "group", "left"))
         dense = judged.where(F.coalesce("most", F.lit(0)) * 2 >= F.col("size")).select("group")
-        leaves.append(large.join(dense, "group", "left_semi"))
+        taken.append(large.join(dense, "group", "left_semi"))
         kept = judged.where(F.coalesce("most", F.lit(0)) * 2 < F.col("size")).select(F.col("group").alias("parent"))
-        frontier = split.join(kept, "parent", "left_semi").select("group", "id", "parent")
-    together = leaves[0]
-    for more in leaves[1:]:
-        together = together.unionByName(more)
-    rows = in_blocks(together, "size").join(vectors, "id").select("key", "id", F.col("side").cast("int").alias("side"), "embedding")
+        frontier = split.join(kept, "parent", "left_semi").select("group", "id")
+    rows = reduce(DataFrame.unionByName, small).join(vectors, "id").select("key", "id", "embedding")
     out = pa.schema([("id", pa.int64()), ("root", pa.int64())])
     least_equal = math.ceil((threshold - MARGIN) * EMBEDDING)
-    return components(_per_group(rows, _near_in_bucket(least_equal), out, "id long, root long"))
+    edges = [_per_group(rows, _near_in_bucket(least_equal), out, "id long, root long")]
+    edges += [large.select("id", "root") for large in taken]
+    return components(reduce(DataFrame.unionByName, edges))
 
 
 def _exact_in_cell(threshold: float) -> Callable:
