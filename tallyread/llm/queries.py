@@ -73,11 +73,9 @@ QUERIES = {
 def _warc_sql() -> str:
     """Both records of every page, put together from macros in plain SQL."""
     urn = "'urn:uuid:' || h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-a' || h[18:20] || '-' || h[21:32]"
-    text = "regexp_replace(html, '(?s)<!--.*?(-->|\\z)', '', 'g')"
-    for name in warc.DROPPED_ELEMENTS:
-        text = f"regexp_replace({text}, '(?is)<{name}\\b[^>]*>.*?(</{name}\\s*>|\\z)', ' ', 'g')"
-    text = f"regexp_replace({text}, '[\\s]+', ' ', 'g')"
-    text = f"regexp_replace({text}, '(?i)</?({warc.LINE_ELEMENTS})\\b[^>]*>', chr(10), 'g')"
+    text = f"regexp_replace(html, '{warc.NO_TEXT}', ' ', 'g')"
+    text = f"regexp_replace({text}, '{warc.WHITE_RUN}', ' ', 'g')"
+    text = f"regexp_replace({text}, '{warc.LINE_TAG}', chr(10), 'g')"
     text = f"regexp_replace({text}, '<[a-zA-Z/!?][^>]*>', '', 'g')"
     decoded = """array_to_string(list_transform(string_split(stripped, '&#'), lambda p, i:
         case when i = 1 then p
@@ -90,9 +88,9 @@ def _warc_sql() -> str:
     for name, character in warc.NAMED:
         quoted = character.replace("'", "''")
         decoded = f"replace({decoded}, '{name}', '{quoted}')"
-    tidy = decoded
-    for pattern, by in (("[ \\t\\r\\f]+", "' '"), (" ?\\n[ \\n]*", "chr(10)"), ("^[ \\n]+|[ \\n]+$", "''")):
-        tidy = f"regexp_replace({tidy}, '{pattern}', {by}, 'g')"
+    tidy = f"regexp_replace({decoded}, '{warc.LINE_WHITE_RUN}', ' ', 'g')"
+    tidy = f"regexp_replace({tidy}, ' \\n[ \\n]*|\\n[ \\n]+', chr(10), 'g')"
+    tidy = f"trim({tidy}, ' ' || chr(10))"
     return f"""
       with source as (
         select coalesce(url, '') as uri, coalesce(html, '') as html,

@@ -21,13 +21,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 #: Elements whose contents are no text, and elements that end a line.
 DROPPED_ELEMENTS = ("script", "style", "noscript", "template", "title", "textarea", "select")
 LINE_ELEMENTS = (
-    "address|article|aside|blockquote|body|br|caption|dd|details|div|dl|dt|fieldset|figcaption|"
-    "figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|legend|li|main|nav|ol|option|p|pre|"
-    "section|summary|table|tbody|td|tfoot|th|thead|tr|ul"
-)
+    "address article aside blockquote body br caption dd details div dl dt fieldset figcaption "
+    "figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre "
+    "section summary table tbody td tfoot th thead tr ul"
+).split()
 #: Named character references and their characters.
 NAMED = (
     ("&lt;", "<"),
@@ -45,6 +47,20 @@ NAMED = (
     ("&raquo;", "»"),
     ("&amp;", "&"),
 )
+#: Their tags, with the names grouped by first letter so that few are tried at each.
+LINE_TAG = (
+    "(?i)</?(?:"
+    + "|".join(
+        f"{letter}(?:{'|'.join(n[1:] for n in LINE_ELEMENTS if n[0] == letter)})"
+        for letter in sorted({n[0] for n in LINE_ELEMENTS})
+    )
+    + r")\b[^>]*>"
+)
+#: Comments and elements without text, up to their ends or the end of the page.
+NO_TEXT = r"(?is)<(?:!--.*?(?:-->|\z)|" + "|".join(rf"{n}\b[^>]*>.*?(?:</{n}\s*>|\z)" for n in DROPPED_ELEMENTS) + ")"
+#: White space that is not one blank already, anywhere and within a line.
+WHITE_RUN = r"[ \t\n\f\r]{2,}|[\t\n\f\r]"
+LINE_WHITE_RUN = r"[ \t\f\r]{2,}|[\t\f\r]"
 TEXT_TYPES = ("text/html", "application/xhtml+xml", "text/plain")
 
 
@@ -83,29 +99,30 @@ def decode_references(text: Column) -> Column:
             .otherwise(F.concat(F.lit("&#"), part))
         )
 
-    numeric = F.array_join(F.transform(F.split(text, "&#"), piece), "")
-    out = F.when(F.contains(text, F.lit("&#")), numeric).otherwise(text)
-    for name, character in NAMED:
-        out = F.replace(out, F.lit(name), F.lit(character))
-    return out
+    def decoded(t: Column) -> Column:
+        numeric = F.array_join(F.transform(F.split(t, "&#"), piece), "")
+        out = F.when(F.contains(t, F.lit("&#")), numeric).otherwise(t)
+        for name, character in NAMED:
+            out = F.replace(out, F.lit(name), F.lit(character))
+        return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
+
+    return let(text, decoded)
 
 
 def plain_text(html: Column) -> Column:
     """The text of a page, one line for each block."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?(-->|\z)", "")
-    for name in DROPPED_ELEMENTS:
-        out = F.regexp_replace(out, rf"(?is)<{name}\b[^>]*>.*?(</{name}\s*>|\z)", " ")
-    out = F.regexp_replace(out, r"[\s]+", " ")
-    out = F.regexp_replace(out, rf"(?i)</?({LINE_ELEMENTS})\b[^>]*>", "\n")
+    out = F.regexp_replace(html, NO_TEXT, " ")
+    out = F.regexp_replace(out, WHITE_RUN, " ")
+    out = F.regexp_replace(out, LINE_TAG, "\n")
     out = F.regexp_replace(out, r"<[a-zA-Z/!?][^>]*>", "")
     return tidy(decode_references(out))
 
 
 def tidy(text: Column) -> Column:
     """Single spaces, single line ends, nothing at either end."""
-    out = F.regexp_replace(text, r"[ \t\r\f]+", " ")
-    out = F.regexp_replace(out, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
+    out = F.regexp_replace(text, LINE_WHITE_RUN, " ")
+    out = F.regexp_replace(out, r" \n[ \n]*|\n[ \n]+", "\n")
+    return F.btrim(out, F.lit(" \n"))
 
 
 def derive(responses: DataFrame) -> DataFrame:
