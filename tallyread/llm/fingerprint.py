@@ -1,14 +1,21 @@
 """Document fingerprints by consistent weighted sampling, with DataFrame functions only.
 
 Terms are runs of five words (a shorter text is one term) and a term's weight is the
-number of times that it occurs.  For a term k of weight w, pseudo-random numbers that
-depend on k alone give r and c from Gamma(2, 1) and b from the unit interval; with
+number of times that it occurs.  Each of the ``SAMPLES`` samples is drawn over all terms of
+the text: for sample j and a term k of weight w, pseudo-random numbers that depend on j and
+k alone give r and c from Gamma(2, 1) and b from the unit interval; with
 t = floor(ln w / r + b) the term's sample value is c * exp(-r * (t - b + 1)), and the term of
 least value, together with its t, is drawn with probability proportional to weight, alike
-in all documents.  Every term belongs to one of ``BINS`` bins and each bin draws one
-sample, so a term is sampled once however many samples a fingerprint has.  Over the bins
-that either fingerprint fills, the share of equal samples estimates the generalised
-Jaccard similarity (sum of least weights over sum of greatest weights).
+in all documents.  The share of equal samples estimates the generalised Jaccard similarity
+(sum of least weights over sum of greatest weights) without bias.
+
+The numbers are made in an order that spares most of them.  At weight 1 a term's values
+are independent Exp(1), that is the first arrivals at each j of one Poisson process of rate
+``SAMPLES`` whose arrivals choose j evenly; so a term's arrivals are made in ascending order
+and only up to a limit, beyond which no sample of the text can lie if every sample has a
+value below it (if one has not, the limit is raised, at last to none).  Given its value a at
+weight 1, a term has c = a + Exp(1), ln(c / a) = r * (1 - b) and r = ln(c / a) + Exp(1), which
+is the same joint distribution; terms that occur more than once get all their values so.
 
 Defined results: null text is the empty text; it has the empty fingerprint, whose
 likeness is 1 to itself and 0 to any other; equal texts have equal fingerprints; repeated
@@ -23,9 +30,13 @@ from pyspark.sql import functions as F
 from .common import let, whole_text
 
 WORDS = 5
-BIN_BITS = 6
-BINS = 1 << BIN_BITS
-#: Bits of a drawn sample's identity, and of its value while bins choose.
+NUMBER_BITS = 6
+SAMPLES = 1 << NUMBER_BITS
+#: Arrivals below a first and a second limit that a sample has on average (64 * exp(-7) is the
+#: chance that a text needs the second); arrivals at END and above are made one by one for
+#: each j, from the memoryless rest.
+FIRST_LIMIT, SECOND_LIMIT, END = 7.0, 18.0, 0.5
+#: Bits of a drawn sample's identity, and of its value while terms compete.
 SAMPLE_BITS, VALUE_BITS = 25, 32
 #: Documents of a range of ids, about, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 1_000, 20_000
@@ -77,84 +88,187 @@ def _low(h: Column) -> Column:
     return h.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _key(k: Column, value: Column, t: Column | None) -> Column:
-    """Bin, sample value and identity in one sortable number.  The bits of k are random
-    already: its lowest choose the bin, the next ones with t name the sample."""
-    scaled = F.floor((value + 128.0) * float(1 << (VALUE_BITS - 8))).cast("long")
-    kept = F.least(F.greatest(scaled, F.lit(0).cast("long")), F.lit((1 << VALUE_BITS) - 1))
-    identity = F.shiftrightunsigned(k, BIN_BITS)
+def _scaled(log_value: Column) -> Column:
+    """The logarithm of a sample value as a number of ``VALUE_BITS`` bits."""
+    scaled = F.floor((log_value + 128.0) * float(1 << (VALUE_BITS - 8))).cast("long")
+    return F.least(F.greatest(scaled, F.lit(0).cast("long")), F.lit((1 << VALUE_BITS) - 1))
+
+
+def _key(j: Column, k: Column, log_value: Column, t: Column | None = None) -> Column:
+    """Number of the sample, its value and its identity in one sortable number."""
+    identity = F.shiftrightunsigned(k, NUMBER_BITS)
     if t is not None:
         identity = identity.bitwiseXOR(t * F.lit(2654435761).cast("long"))
     return (
-        F.shiftleft(k.bitwiseAND(F.lit(BINS - 1)), VALUE_BITS + SAMPLE_BITS)
-        .bitwiseOR(F.shiftleft(kept, SAMPLE_BITS))
+        F.shiftleft(j, VALUE_BITS + SAMPLE_BITS)
+        .bitwiseOR(F.shiftleft(_scaled(log_value), SAMPLE_BITS))
         .bitwiseOR(identity.bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1)))
     )
 
 
-def _variates(k: Column) -> tuple[Column, Column, Column]:
-    """r, ln c and b of a term."""
-    h = F.xxhash64(k, F.lit(2))
-    rate = -F.log(_unit(_high(k)) * _unit(_low(k)))
-    log_c = F.log(-F.log(_unit(_high(h)) * _unit(_low(h))))
-    return rate, log_c, _unit(_high(F.xxhash64(k, F.lit(3))))
+def _number(key: Column) -> Column:
+    return F.shiftrightunsigned(key, VALUE_BITS + SAMPLE_BITS)
 
 
-def _draw_single(k: Column) -> Column:
-    """The sample of a term of weight 1, where ln w = 0 and so t = 0."""
-    rate, log_c, shift = _variates(k)
-    return _key(k, log_c - rate * (F.lit(1.0) - shift), None)
+def _chosen(h: Column) -> Column:
+    """The j of an arrival."""
+    return h.bitwiseAND(F.lit(SAMPLES - 1).cast("long"))
 
 
-def _draw(k: Column, w: Column) -> Column:
-    """The sample of a term of any weight."""
-    rate, log_c, shift = _variates(k)
+def _gap(h: Column) -> Column:
+    """Time from the arrival before, or from 0, to the arrival with bits h."""
+    return F.log(_unit(_high(h))) * (-1.0 / SAMPLES)
 
-    def with_rate(r: Column) -> Column:
+
+def arrivals(ks: Column, limit: Column) -> Column:
+    """Array of (k, h, a): the arrivals below a limit of each term's process.  The first has
+    the bits of k, which are random already, and each other a hash of the bits before it."""
+    least = F.exp(limit * float(-SAMPLES)) * float(1 << 32) - 0.5
+    first = let(
+        least,
+        lambda low: F.transform(
+            F.filter(ks, lambda k: _high(k) > low),
+            lambda k: F.struct(k.alias("k"), k.alias("h"), _gap(k).alias("a")),
+        ),
+    )
+
+    def after(now: Column) -> Column:
+        following = F.transform(
+            now,
+            lambda x: F.struct(
+                x["k"].alias("k"),
+                F.xxhash64(x["h"]).alias("h"),
+                (x["a"] + _gap(F.xxhash64(x["h"]))).alias("a"),
+            ),
+        )
+        return F.filter(following, lambda x: x["a"] < limit)
+
+    def step(got: Column, _: Column) -> Column:
+        return F.when(F.size(got["now"]) == 0, got).otherwise(
+            let(after(got["now"]), lambda n: F.struct(F.concat(got["all"], n).alias("all"), n.alias("now")))
+        )
+
+    # Their number is Poisson distributed; more than this many in a row do not happen.
+    mean = limit * float(SAMPLES)
+    most = F.ceil(mean + F.sqrt(mean) * 9.0 + 16.0).cast("int")
+    return F.aggregate(
+        F.sequence(F.lit(1), most),
+        let(first, lambda f: F.struct(f.alias("all"), f.alias("now"))),
+        step,
+        lambda got: got["all"],
+    )
+
+
+def _weighted(k: Column, w: Column, j: Column, a: Column) -> Column:
+    """The key of sample j of a term of any weight that has value a at weight 1."""
+    h = F.xxhash64(k, j, F.lit(3))
+
+    def with_c(c: Column) -> Column:
+        return let(F.log(c / a), lambda v: let(v - F.log(_unit(_low(h))), lambda r: with_rate(c, v, r)))
+
+    def with_rate(c: Column, v: Column, r: Column) -> Column:
+        shift = F.lit(1.0) - v / r
         step = F.floor(F.log(w.cast("double")) / r + shift)
-        return let(step, lambda t: _key(k, log_c - r * (t - shift + 1.0), t))
+        return let(step, lambda t: _key(j, k, F.log(c) - r * (t - shift + 1.0), t))
 
-    return let(rate, with_rate)
+    return let(a - F.log(_unit(_high(h))), with_c)
 
 
-def drawn(hashes: Column) -> Column:
-    """The samples of all distinct terms; texts that repeat none take the short way."""
+def every_key(k: Column, w: Column) -> Column:
+    """Keys of all samples of one term."""
+    early = F.sort_array(
+        F.transform(
+            arrivals(F.array(k), F.lit(END)), lambda x: F.struct(_chosen(x["h"]).alias("j"), x["a"].alias("a"))
+        )
+    )
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(SAMPLES - 1).cast("long"))
+
+    def with_rest(s: Column) -> Column:
+        rest = F.transform(
+            F.array_except(numbers, F.transform(s, lambda x: x["j"])),
+            lambda j: F.struct(j.alias("j"), (F.lit(END) - F.log(_unit(_high(F.xxhash64(k, j, F.lit(2)))))).alias("a")),
+        )
+        return F.concat(F.filter(s, lambda x, i: (i == 0) | (x["j"] != F.get(s, i - 1)["j"])), rest)
+
+    return F.transform(
+        let(early, with_rest),
+        lambda x: F.when(w == 1, _key(x["j"], k, F.log(x["a"]))).otherwise(_weighted(k, w, x["j"], x["a"])),
+    )
+
+
+def _least(keys: Column) -> Column:
+    """The least key of each sample that has one."""
+    return let(
+        F.sort_array(keys),
+        lambda s: F.filter(s, lambda x, i: (i == 0) | (_number(x) != _number(F.get(s, i - 1)))),
+    )
+
+
+def drawn(hashes: Column, limited: bool = True) -> Column:
+    """The keys of all samples over all distinct terms; without limits, from all values."""
+
+    def all_keys(counts: Column) -> Column:
+        return F.flatten(F.transform(counts, lambda x: every_key(x["k"], x["w"])))
+
+    def below(limit: Column, singles: Column, repeated: Column) -> Column:
+        early = F.transform(arrivals(singles, limit), lambda x: _key(_chosen(x["h"]), x["k"], F.log(x["a"])))
+        bound = _scaled(F.log(limit))
+        value = lambda x: F.shiftrightunsigned(x, SAMPLE_BITS).bitwiseAND(F.lit((1 << VALUE_BITS) - 1))
+        return _least(F.concat(early, let(bound, lambda b: F.filter(repeated, lambda x: value(x) < b))))
 
     def of(s: Column) -> Column:
+        everything = _least(all_keys(counted(s)))
+        if not limited:
+            return F.when(F.size(s) == 0, F.array().cast("array<bigint>")).otherwise(everything)
         distinct = F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1)))
-        return let(
+        nothing = F.array().cast("array<bigint>")
+
+        def split(c: Column) -> Column:
+            singles = F.transform(F.filter(c, lambda x: x["w"] == 1), lambda x: x["k"])
+            return F.struct(singles.alias("singles"), all_keys(F.filter(c, lambda x: x["w"] > 1)).alias("repeated"))
+
+        parts = let(
             distinct,
-            lambda d: F.when(F.size(d) == F.size(s), F.transform(d, _draw_single)).otherwise(
-                F.transform(counted(s), lambda x: _draw(x["k"], x["w"]))
-            ),
+            lambda d: F.when(
+                F.size(d) == F.size(s), F.struct(d.alias("singles"), nothing.alias("repeated"))
+            ).otherwise(let(counted(s), split)),
+        )
+
+        def tried(p: Column) -> Column:
+            limit = lambda mean: F.lit(mean) / F.size(s)
+            complete = lambda x, other: F.when(F.size(x) == SAMPLES, x).otherwise(other)
+            attempt = lambda mean: let(limit(mean), lambda m: below(m, p["singles"], p["repeated"]))
+            second = F.when(limit(SECOND_LIMIT) > END, everything).otherwise(
+                let(attempt(SECOND_LIMIT), lambda x: complete(x, everything))
+            )
+            return let(attempt(FIRST_LIMIT), lambda x: complete(x, second))
+
+        return (
+            F.when(F.size(s) == 0, nothing)
+            .when(F.lit(FIRST_LIMIT) / F.size(s) > END, everything)
+            .otherwise(let(parts, tried))
         )
 
     return let(F.sort_array(hashes), of)
 
 
-def samples(text: Column) -> Column:
-    """The fingerprint as an array: for each filled bin, its number and its sample."""
-    bin_of = lambda x: F.shiftrightunsigned(x, VALUE_BITS + SAMPLE_BITS)
-    return let(
-        F.sort_array(drawn(terms(text))),
-        lambda s: F.transform(
-            F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1)))),
-            lambda x: F.shiftleft(bin_of(x), SAMPLE_BITS).bitwiseOR(
-                x.bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1))
-            ),
-        ),
+def samples(text: Column, limited: bool = True) -> Column:
+    """The fingerprint as an array: each sample's number and identity; empty without terms."""
+    return F.transform(
+        drawn(terms(text), limited),
+        lambda x: F.shiftleft(_number(x), SAMPLE_BITS).bitwiseOR(x.bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1))),
     )
 
 
 def as_string(fingerprint: Column) -> Column:
-    """Eight hexadecimal digits for each filled bin."""
+    """Eight hexadecimal digits for each sample."""
     return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
 def likeness(one: Column, other: Column) -> Column:
-    """Share of equal samples among the bins that either fingerprint fills."""
-    bins = lambda a: F.transform(a, lambda x: F.shiftrightunsigned(x, SAMPLE_BITS))
-    filled = F.size(F.array_union(bins(one), bins(other)))
+    """Share of equal samples among those that either fingerprint has."""
+    numbers = lambda a: F.transform(a, lambda x: F.shiftrightunsigned(x, SAMPLE_BITS))
+    filled = F.size(F.array_union(numbers(one), numbers(other)))
     equal = F.size(F.array_intersect(one, other))
     return F.when(filled == 0, F.lit(1.0)).otherwise(equal / F.greatest(filled, F.lit(1)))
 

@@ -272,6 +272,35 @@ def test_weights_count(spark):
     assert abs(near - similarity(terms_of(once), terms_of(often))) < 0.2
 
 
+def test_heavy_terms_and_limits(spark):
+    """One term that outweighs all others: each document's estimate lies near its similarity
+    (by chance within 4 standard deviations), and limits leave out no sample."""
+    rng = random.Random(19)
+    words = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(40):
+        heavy = ["again"] * rng.choice([30, 100, 400])
+        kept = words(rng.choice([5, 25, 60, 200]))
+        shorter = heavy[: len(heavy) // 2] if i % 3 == 0 else heavy
+        rows.append((i, " ".join(heavy + kept + words(40)), " ".join(shorter + kept + words(40))))
+    rows += [(40, "one", "one two"), (41, "", " "), (42, " ".join(words(3000)), " ".join(words(9) * 6))]
+    pairs = spark.createDataFrame(rows, "id long, a string, b string")
+    got = pairs.select(
+        "id",
+        *[fingerprint.samples(F.col(c)).alias(c) for c in "ab"],
+        *[fingerprint.samples(F.col(c), limited=False).alias("every_" + c) for c in "ab"],
+    )
+    got = {r["id"]: r for r in got.withColumn("near", fingerprint.likeness(F.col("a"), F.col("b"))).collect()}
+    errors = []
+    for i, a, b in rows:
+        assert got[i]["a"] == got[i]["every_a"] and got[i]["b"] == got[i]["every_b"]
+        assert len(got[i]["a"]) == (64 if a.split() else 0)
+        true = similarity(terms_of(a), terms_of(b))
+        errors.append(got[i]["near"] - true)
+        assert abs(errors[-1]) < 4.5 * (true * (1 - true) / 64) ** 0.5 + 0.001, (i, true, got[i]["near"])
+    assert abs(np.mean(errors)) < 0.04
+
+
 # --- pages -----------------------------------------------------------------------------
 
 PAGE = (
