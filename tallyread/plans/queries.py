@@ -6,7 +6,7 @@ the rows what the reading has to find.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import notation as N
@@ -30,7 +30,10 @@ from ..operators.kit import check_contract, failures
 from ..sources import pdf, text
 from ..sources.documents import documents_from_items, documents_from_texts, open_documents
 from . import statements as ST
-from .explain import ExplainOptions, describe_cut, explain_documents, fit, recurring_cut
+from .explain import ExplainOptions, describe_cut, explanations, fit, recurring_cut
+
+#: Places of a conversation's turns in the contract.
+TURN_PLACES = 1_000_000
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -376,10 +379,9 @@ def read_table_cells(spark, sf_dir):
     return TB.long_cells(TB.read_table(docs))
 
 
-def _prose(spark, sf_dir):
+def _prose(rows, doc_id):
     """Conversations' turns as plain text: prose without columns."""
-    rows = _table(spark, sf_dir, "conversations").where("turn = 0")
-    return rows.select(F.col("conv_id").alias("doc_id"), F.lit("turn").alias("name"), F.regexp_replace("text", "[\"\\t;|,]| {2,}", " ").alias("text"))
+    return rows.select(doc_id.alias("doc_id"), F.lit("turn").alias("name"), F.regexp_replace("text", "[\"\\t;|,]| {2,}", " ").alias("text"))
 
 
 @query(
@@ -387,7 +389,8 @@ def _prose(spark, sf_dir):
     "from conversations where turn = 0"
 )
 def read_table_warnings(spark, sf_dir):
-    prose = _prose(spark, sf_dir).withColumn("text", F.regexp_replace("text", " +", " "))
+    first = _table(spark, sf_dir, "conversations").where("turn = 0")
+    prose = _prose(first, F.col("conv_id")).withColumn("text", F.regexp_replace("text", " +", " "))
     tables = TB.read_table(documents_from_texts(prose))
     return tables.select("doc_id", F.size("warnings").alias("n"), F.get("warnings", F.lit(0)).alias("warning"))
 
@@ -748,30 +751,37 @@ def contract_kit(spark, sf_dir):
     lineitem = _table(spark, sf_dir, "lineitem")
 
     def cases(texts, expected):
-        return ST.read_statements(texts).withColumns({"case": F.col("name"), "place": F.col("doc_id").cast("int"), "expected": F.lit(expected)})
+        return ST.read_statements(texts).withColumns({"case": F.col("name"), "place": F.col("doc_id"), "expected": F.lit(expected)})
 
-    chosen = lineitem.where("l_orderkey < 40")
-    full = chosen.join(chosen.groupBy("l_orderkey").count().where("count >= 4"), "l_orderkey", "left_semi")
+    full = lineitem.join(lineitem.groupBy("l_orderkey").count().where("count >= 4"), "l_orderkey", "left_semi")
     corpus = cases(ST.statements(full), "read")
     items = ST.statement_items(full)
-    first = items.orderBy("doc_id").limit(1).select(
+    placed = items.select(
         "doc_id", F.lit("reference.pdf").alias("name"), F.lit(1).alias("page"), F.lit(595.0).alias("width"), F.lit(842.0).alias("height"), "items"
     )
-    reference = TB.read_table(documents_from_items(first)).withColumn("anomalies", C.find_row_anomalies(F.col("rows"), ST.SIGNATURE))
-    prose = _prose(spark, sf_dir).where("doc_id < 3")
-    foreign = ST.read_statements(prose).withColumns({"case": F.col("name"), "place": F.col("doc_id").cast("int")})
+    reference = TB.read_table(documents_from_items(placed)).withColumns(
+        {"anomalies": C.find_row_anomalies(F.col("rows"), ST.SIGNATURE), "place": F.col("doc_id")}
+    )
+    # Turns are told apart by conversation, turn and, where that pair repeats, number.
+    copies = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    turns = _table(spark, sf_dir, "conversations").withColumn("copy", F.row_number().over(copies))
+    keys = [F.coalesce(F.col(c), F.lit(-1)).cast("long") for c in ("conv_id", "turn", "copy")]
+    prose = _prose(turns, F.concat_ws("/", *[k.cast("string") for k in keys]))
+    key = lambda i: F.get(F.split("doc_id", "/"), F.lit(i)).cast("long")
+    foreign = ST.read_statements(prose).withColumns(
+        {"case": F.concat(F.col("name"), F.lit(" "), F.col("doc_id")), "place": key(0) * TURN_PLACES + key(1)}
+    )
     from ..sources.documents import document_without_substance
 
     empty = TB.read_table(document_without_substance(spark)).withColumn("anomalies", C.find_row_anomalies(F.col("rows"), ST.SIGNATURE))
     results = check_contract(ST.StatementReader(), corpus, reference, empty, foreign)
-    broken = failures(results).select("ordinal", F.lit(True).alias("failed"))
+    broken = failures(results).select("ordinal", F.lit(True).alias("failed")).distinct()
     return results.join(broken, "ordinal", "left").select("ordinal", "rule", "passed", "detail")
 
 
 @query()
 def explain_statements(spark, sf_dir):
-    """The explanation of a few statements, as text."""
-    texts = ST.statements(_table(spark, sf_dir, "lineitem").where("l_orderkey < 4"))
+    """The explanation of every statement, as text."""
+    texts = ST.statements(_table(spark, sf_dir, "lineitem"))
     options = ExplainOptions(boundaries_of=recurring_cut, signature=ST.SIGNATURE)
-    said = explain_documents(documents_from_texts(texts), options)
-    return spark.createDataFrame(sorted(said.items()) or [(0, "")], "doc_id long, explanation string")
+    return explanations(documents_from_texts(texts), options)

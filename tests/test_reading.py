@@ -166,6 +166,32 @@ def test_explain(spark):
     assert explain_rows(rows)["d"].splitlines()[0] == "2 column(s), 1 row(s)"
 
 
+def test_contract_and_explanations_take_all_rows(spark, tmp_path):
+    """Orders, turns and references beyond the first few are judged and explained."""
+    from datetime import datetime
+
+    from tallyread.plans.queries import QUERIES
+
+    keys = [1, 39, 40, 500_000]
+    lines = [(k, n, 1, n, 10.0 * n + 0.5, datetime(2026, 5, n)) for k in keys for n in range(1, 6)]
+    lines = spark.createDataFrame(
+        lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_shipdate timestamp"
+    )
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    table = ST.statements(lines.where("l_orderkey = 40")).first()["text"]
+    turns = [(c, t, "user", "a plain line of prose") for c in (0, 2, 3, 9000) for t in (0, 1)] + [(3, 2, "user", table)]
+    turns += [(3, 1, "user", "a plain line of prose")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["contract_kit"](spark, str(tmp_path)).collect()
+    of = lambda n: [r for r in got if r["rule"].startswith(f"{n}.")]
+    assert [len(of(n)) for n in range(1, 7)] == [4, 4, 4, 4, 1, 10]
+    assert len({(r["ordinal"], r["rule"]) for r in got}) == len(got) and len({r["ordinal"] for r in of(1) + of(4)}) == 8
+    assert {r["rule"] for r in of(1)} == {f"1. expected verdict (order-{k}.txt)" for k in keys}
+    assert sorted(r["rule"] for r in of(6))[-1].endswith("(turn 9000/1/1)")
+    said = {r["doc_id"]: r["explanation"] for r in QUERIES["explain_statements"](spark, str(tmp_path)).collect()}
+    assert sorted(said) == keys and said[500_000].startswith("tallyread - order-500000.txt\ntext, 1 page(s), 6 row(s)")
+
+
 def test_folder_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text("a;b\nc;d")
