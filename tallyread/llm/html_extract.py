@@ -6,8 +6,8 @@ text of links.  The containers that hold most of a page's good text are scored b
 share, by their element and by their class; each score is a vote for the container's path,
 where digits in classes are generalised away.  Votes are summed per host and path in
 Spark; pages are then extracted again from the container whose path has the most votes on
-their host.  A page without any of its host's paths is extracted from its own best
-container.
+their host.  All paths of a host count, however many it has; html and body, which all
+templates share, are chosen only where no container inside them holds enough.
 
 Defined results: null html is the empty page, whose text is empty; a null address has the
 empty host; repeated rows give repeated results; other columns are ignored; an empty table
@@ -21,7 +21,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
@@ -55,13 +55,14 @@ BOILERPLATE = re.compile(
 HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 FAVOURED = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|body|text|main)(?:$|[\s_-])", re.I)
 ELEMENT_WEIGHT = {"article": 1.5, "main": 1.3, "body": 0.7, "html": 0.6}
-#: The least share of a page's good text in a container that gets votes, and the paths
-#: that a host keeps (the rest serve no page better than its own best container).
+#: The least share of a page's good text in a container that gets votes.
 LEAST_SHARE = 0.6
-PATHS_OF_HOST = 8
 PATH_DEPTH = 12
-#: Hosts up to which the paths are broadcast; beyond, a salted join brings them to pages.
-BROADCAST_HOSTS = 20_000
+#: Containers that the templates of a host share.
+SHARED = frozenset(("html", "body"))
+#: Paths up to which the votes are broadcast; beyond, a salted join brings each page the
+#: votes of its own paths.
+BROADCAST_PATHS = 160_000
 SALTS = 64
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -233,7 +234,8 @@ def main_text(page: str, agreed: dict[str, float] | None = None) -> str:
     best = max(found, key=lambda x: x[1])[0]
     if agreed:
         voted = [(agreed.get(generalised(n), 0.0), s, n) for n, s in found]
-        top = max(voted, key=lambda x: x[:2])
+        inner = [x for x in voted if x[0] > 0 and x[2].tag not in SHARED]
+        top = max(inner or voted, key=lambda x: x[:2])
         if top[0] > 0:
             best = top[2]
     return "\n\n".join(blocks(best))
@@ -265,34 +267,50 @@ def path_votes(pages: DataFrame) -> DataFrame:
     return cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
 
 
-def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, paths, votes): each host's paths with the most votes."""
-    best = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
-    return (
-        path_votes(pages)
-        .withColumn("place", F.row_number().over(best))
-        .where(F.col("place") <= PATHS_OF_HOST)
-        .groupBy("host")
+def page_votes(rows: DataFrame, votes: DataFrame) -> DataFrame:
+    """``rows`` (with host and html) with the paths of the page's own containers and their
+    votes: paths meet votes by host and path, and pages by host and digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 512):
+                found = [sorted({generalised(n) for n, _ in candidates(parse(page))}) for page in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(found, pa.list_(pa.string()))], names=["host", "digest", "own"]
+                )
+
+    marked = rows.withColumn("digest", F.sha2("html", 256))
+    own = marked.select("host", "digest", "html").mapInArrow(run, "host string, digest string, own array<string>")
+    salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")
+    wanted = own.select("host", "digest", F.explode("own").alias("path")).distinct().withColumn("salt", salt)
+    salted = votes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of_page = (
+        wanted.join(salted, ["host", "path", "salt"])
+        .groupBy("host", "digest")
         .agg(F.sort_array(F.collect_list(F.struct("path", "votes"))).alias("agreed"))
-        .select("host", F.col("agreed.path").alias("paths"), F.col("agreed.votes").alias("votes"))
+        .select("host", "digest", F.col("agreed.path").alias("paths"), F.col("agreed.votes").alias("votes"))
     )
+    return marked.join(of_page, ["host", "digest"], "left")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    agreed = materialise(host_paths(pages))
+    votes = materialise(path_votes(pages))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         "url",
         host_of(F.col("url")).alias("host"),
         F.coalesce("html", F.lit("")).alias("html"),
     )
-    if agreed.count() <= BROADCAST_HOSTS:
-        joined = rows.join(F.broadcast(agreed), "host", "left")
+    known = None
+    if votes.count() <= BROADCAST_PATHS:
+        by_host: dict[str, dict[str, float]] = {}
+        for r in votes.collect():
+            by_host.setdefault(r["host"], {})[r["path"]] = r["votes"]
+        known = pages.sparkSession.sparkContext.broadcast(by_host)
+        given = rows.select("page_id", "url", "html", "host")
     else:
-        salted = agreed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-        joined = rows.withColumn("salt", salt).join(salted, ["host", "salt"], "left")
+        given = page_votes(rows, votes).select("page_id", "url", "html", "paths", "votes")
     names = ["page_id", "url", "text", "n_chars"]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64()]
     out = pa.schema(list(zip(names, types)))
@@ -301,13 +319,12 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 512):
                 got = part.to_pydict()
-                texts = [
-                    main_text(page, dict(zip(paths, votes)) if paths else None)
-                    for page, paths, votes in zip(got["html"], got["paths"], got["votes"])
-                ]
+                if known is not None:
+                    agreed = [known.value.get(host) for host in got["host"]]
+                else:
+                    agreed = [dict(zip(p, v)) if p else None for p, v in zip(got["paths"], got["votes"])]
+                texts = [main_text(page, paths) for page, paths in zip(got["html"], agreed)]
                 columns = [got["page_id"], got["url"], texts, [len(t) for t in texts]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], schema=out)
 
-    return joined.select("page_id", "url", "html", "paths", "votes").mapInArrow(
-        run, "page_id long, url string, text string, n_chars long"
-    )
+    return given.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -356,3 +356,23 @@ def test_warc(spark):
     assert meta["content_length"] == len(meta["block"].encode())
     assert meta["block_digest"] == "sha256:" + hashlib.sha256(meta["block"].encode()).hexdigest()
     assert warc.derive(table.where("1 = 0")).count() == 0
+
+
+def test_hosts_with_many_templates(spark, monkeypatch):
+    """Twenty templates on one host: each page is read from its own template's article, with
+    votes broadcast and joined alike."""
+    page = (
+        "<html><body><div class='intro'>Unmarked teaser %d</div><article class='kind-%s'>"
+        "<header><h1>Heading %d</h1></header><p>" + "Long text of the article. " * 20 + "%d</p></article></body></html>"
+    )
+    kinds = [chr(97 + k) for k in range(20)]
+    rows = [(i, "http://hot.example/%d" % i, page % (i, kinds[i % 20], i, i)) for i in range(60)]
+    rows += [(0, *rows[0][1:]), (90, None, rows[1][2]), (91, "http://hot.example/x", None), (92, "http://hot.example/y", "<p>alone")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted((r["page_id"], r["text"]) for r in html_extract.extract_pages(table).collect())
+    said = dict(want)
+    for i in range(60):
+        assert said[i].startswith(f"Heading {i}\n\nLong text") and said[i].endswith(str(i)) and "teaser" not in said[i]
+    assert len(want) == 64 and said[91] == "" and said[92] == "alone"
+    monkeypatch.setattr(html_extract, "BROADCAST_PATHS", 0)
+    assert sorted((r["page_id"], r["text"]) for r in html_extract.extract_pages(table).collect()) == want
