@@ -37,7 +37,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
@@ -359,11 +359,12 @@ def _exact_in_cell(threshold: float) -> Callable:
     return work
 
 
-def linked(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def linked(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(id, root, links) of the members of cells: the smallest id that true links connect
     to each, and the number of documents that it is linked to.
 
-    ``members`` is a written table of id, cell, size (of the cell) and copies.
+    ``members`` is a written table of id, cell, size (of the cell) and copies; ``texts`` has one
+    row of each doc_id.
     """
     small = members.count() <= BROADCAST_ROWS
     out = pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("size", pa.int64()), ("copies", pa.int64()), ("grams", pa.binary())])
@@ -375,7 +376,6 @@ def linked(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
                 columns = [part.column(i) for i in range(4)] + [pa.array(grams, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    texts = one_text_each(docs)
     rows = texts.join(F.broadcast(members) if small else members, texts["doc_id"] == members["id"])
     with_sets = rows.select("cell", "id", "size", "copies", "text").mapInArrow(
         sets, "cell long, id long, size long, copies long, grams binary"
@@ -390,8 +390,12 @@ def linked(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 
 
 def one_text_each(docs: DataFrame) -> DataFrame:
-    """(doc_id, text); documents with one doc_id are expected to be one row."""
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    """(doc_id, text): of repeated rows of one doc_id the smallest text; texts are moved only
+    where there are such rows."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    if rows.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty():
+        return rows
+    return materialise(rows.groupBy("doc_id").agg(F.min("text").alias("text")))
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = 0.9999) -> DataFrame:
@@ -401,12 +405,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     none); n_links counts the other documents that are as similar as the threshold, copies
     included.
     """
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    embedded = materialise(embed_documents(docs))
-    alone = Window.partitionBy("doc_id").orderBy("words_key")
-    repeated = embedded.groupBy("doc_id").count().where("count > 1").limit(1)
-    if not repeated.isEmpty():
-        embedded = materialise(embedded.withColumn("place", F.row_number().over(alone)).where("place = 1").drop("place"))
+    texts = one_text_each(docs)
+    ids = texts.select("doc_id")
+    embedded = materialise(embed_documents(texts))
     keys = embedded.groupBy("words_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
     classed = materialise(embedded.join(keys, "words_key").select("doc_id", "id", "copies", F.when(F.col("doc_id") == F.col("id"), F.col("embedding")).alias("embedding")))
     classes = classed.where("doc_id = id").select("id", "copies", "embedding")
@@ -417,7 +418,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
         .join(classes.select("id", "copies"), "id")
         .select("id", F.col("root").alias("cell"), "size", "copies")
     )
-    links = materialise(linked(members, docs, threshold))
+    links = materialise(linked(members, texts, threshold))
     by_document = classed.select("doc_id", "id", "copies").join(links, "id", "left").select(
         "doc_id",
         F.coalesce("root", "id").alias("class_id"),

@@ -96,6 +96,16 @@ def test_empty_and_repeated_rows(spark):
     assert got == [(0, 0, 0), (1, 1, 0)]
 
 
+def test_repeated_rows_inside_a_group(spark):
+    """Repeated rows count once, and of different texts under one id the smallest alone."""
+    words = [f"w{i}" for i in range(100)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "changed"]), " ".join(["x", *words[50:], "y"])
+    rows = [(0, text), (0, text), (1, near), (2, near), (2, "a text apart from all of the others"), (3, other), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in J.jaccard_join(docs).collect())
+    assert got == [(0, 0, 1), (1, 0, 1), (2, 2, 0), (3, 3, 0)]
+
+
 def test_runs_reach_the_recall():
     assert J.runs_for(0.9999, 0.8, J.CHOSEN, 0) >= 3
     values = np.random.default_rng(0).integers(0, 2**32, (2000, J.EMBEDDING)).astype(np.uint32)
