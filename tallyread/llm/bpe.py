@@ -4,11 +4,14 @@ A vocabulary reaches the executors as the text of a ``tokenizers`` JSON (a few M
 whatever the corpus; it is broadcast).  It comes either from such a JSON file or from a
 rank file, whose merges are recovered on the driver.
 
-Encoding works on *chunks*.  A piece of the split pattern never holds a space after its
-first character unless it is all white space, so a text cut before each single space has
-the pieces of its chunks, provided that no chunk is empty or has white space at an end.
-Each worker keeps the ids of the latest chunks and hands only unseen chunks to the
-library; a text with a run of white space takes the split pattern itself.
+Encoding works on *chunks*.  No piece of the split pattern begins before white space and
+ends after it unless it is white space itself, so a text may be cut wherever white space
+follows something else: its pieces are those of its chunks, each a run of white space and
+what follows it.  A column of texts is split and its distinct chunks are found by Arrow;
+each worker keeps the ids of the latest chunks, hands only unseen ones to the library
+(without the marks at their ends, which are pieces of their own after a letter or digit),
+and gathers the ids of all chunks at once.  Only texts with longer runs of white space are
+cut by a pattern in Python.
 
 Defined results: null text is the empty text (no ids); repeated rows give repeated
 results; other columns are ignored; texts are never cut.
@@ -20,22 +23,36 @@ import base64
 import hashlib
 import json
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import whole_text
+from .common import slices, whole_text
 
 #: Fixed value: the split pattern that precedes the merges.
 SPLIT_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
-#: Chunks of a generation of those that a worker keeps, and the longest that it keeps.
+#: Fixed value: the white space of the split pattern.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Chunks, and ids of chunks, beyond which a worker keeps only the latest run's, and the
+#: length of the longest of these.
 CACHE_CHUNKS = 400_000
+CACHE_IDS = 4_000_000
 LONG_CHUNK = 64
+#: Rows, and bytes of text unless one row has more, of a run that is encoded at once.
+RUN_ROWS = 2_048
+RUN_BYTES = 4 << 20
+
+_RUN_OF_WHITE = f"[{WHITE}][ \n]"
+_CHUNK = regex.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+_JOINS = f"(?s)^[{WHITE}].*[^{WHITE}]$"
+_LETTER_ENDS = r"[\p{L}\p{N}]$"
 
 
 def byte_to_char() -> list[str]:
@@ -109,19 +126,39 @@ def tokenizer_json(path: str) -> str:
     return tokenizer_json_from_ranks(path)
 
 
+def strings(texts: pa.Array) -> list[str]:
+    """A column as Python strings, made in one go."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+def suffixes(texts: pa.Array, start: np.ndarray) -> pa.Array:
+    """What follows the first ``start`` bytes of each text."""
+    length = pc.binary_length(texts).to_numpy() - start
+    ends = np.cumsum(length)
+    begins = np.cumsum(length + start) - length
+    data = np.frombuffer("".join(strings(texts)).encode(), np.uint8)
+    data = data[np.repeat(begins - (ends - length), length) + np.arange(length.sum())]
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
 class Codec:
-    """Encoder and decoder of one vocabulary inside one process."""
+    """Encoder and decoder of one vocabulary inside one process.
 
-    def __init__(self, spec: str, pattern: str = SPLIT_PATTERN):
+    ``special`` tells whether the vocabulary's added tokens are recognised in texts.
+    """
+
+    def __init__(self, spec: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
-        self.pieces = regex.compile(pattern)
-        self.spaced: dict[str, bytes | None] = {}
-        self.long: list[str] = []
-        self.older: dict[str, bytes | None] = {}
-        self.plain: dict[str, bytes] = {}
+        self.whole = Tokenizer.from_str(spec) if special else None
+        added = self.tokenizer.get_added_tokens_decoder().values() if special else ()
+        self.added = [token.content for token in added]
+        self.known: dict[str, int] = {}
+        self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
         back = {letter: byte for byte, letter in enumerate(byte_to_char())}
         vocabulary = self.tokenizer.get_vocab()
         self.token_bytes = [b""] * (max(vocabulary.values(), default=-1) + 1)
@@ -134,73 +171,130 @@ class Codec:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.token_bytes), dtype=np.uint8)
 
-    def _turn_over(self) -> None:
-        """Keep the two latest generations of short chunks; called between runs of texts."""
-        for chunk in self.long:
-            self.spaced.pop(chunk, None)
-            self.plain.pop(chunk, None)
-        self.long.clear()
-        if len(self.spaced) > CACHE_CHUNKS:
-            self.older, self.spaced = self.spaced, {}
-        if len(self.plain) > CACHE_CHUNKS:
-            self.plain = {}
-
-    def _learn_spaced(self, unseen: set[str]) -> None:
-        """Ids of chunks with a space before them; None for a chunk that is not safe.
-
-        Unseen chunks are encoded as one text and told apart by the lengths of their
-        tokens' bytes.
-        """
-        known, fresh = self.spaced, []
-        self.long += [c for c in unseen if len(c) > LONG_CHUNK]
-        for chunk in unseen:
-            if chunk in self.older:
-                known[chunk] = self.older[chunk]
-            elif chunk and not chunk[0].isspace() and not chunk[-1].isspace():
-                fresh.append(chunk)
-            else:
-                known[chunk] = None
-        for at in range(0, len(fresh), 4_096):
-            part = fresh[at : at + 4_096]
-            got = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+    def _add(self, chunks: pa.Array, count: np.ndarray, ids: np.ndarray) -> None:
+        """New chunks with the numbers of their ids, and all these ids in order."""
+        self.known.update(zip(strings(chunks), range(len(self.at), len(self.at) + len(chunks))))
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _found(self, chunks: pa.Array) -> np.ndarray:
+        """Slots of chunks, -1 for those without one."""
+        return np.fromiter(map(self.known.get, strings(chunks), repeat(-1)), np.int64, len(chunks))
+
+    def _gathered(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks in some slots, in that order, and how many each has."""
+        count = self.count[slots]
+        ends = np.cumsum(count)
+        places = np.repeat(self.at[slots] - (ends - count), count)
+        places += np.arange(len(places))
+        return self.ids[places], count
+
+    def _encode_fresh(self, fresh: pa.Array) -> None:
+        """Chunks that the library must encode.  Those with white space before and none
+        after go as one text and are told apart by the lengths of their tokens' bytes."""
+        joins = pc.match_substring_regex(fresh, _JOINS)
+        together, alone = fresh.filter(joins), fresh.filter(pc.invert(joins))
+        for first in range(0, len(together), 16_384):
+            part = together.slice(first, 16_384)
+            got = self.tokenizer.encode_batch_fast(["".join(strings(part))], add_special_tokens=False)
             ids = np.array(got[0].ids, dtype="<u4")
-            ends = np.cumsum([len(c.encode()) + 1 for c in part])
-            stops = 4 * (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1)
-            data, start = ids.tobytes(), 0
-            for chunk, stop in zip(part, stops.tolist()):
-                known[chunk] = data[start:stop]
-                start = stop
-
-    def _encode_pieces(self, text: str) -> bytes:
-        """A text by its pieces alone."""
-        pieces = self.pieces.findall(text)
-        unseen = list(set(pieces).difference(self.plain))
-        if unseen:
-            self.long += [p for p in unseen if len(p) > LONG_CHUNK]
-            got = self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False)
-            for piece, encoded in zip(unseen, got):
-                self.plain[piece] = np.array(encoded.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.plain.__getitem__, pieces))
+            ends = np.cumsum(pc.binary_length(part).to_numpy())
+            stops = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+            self._add(part, np.diff(stops, prepend=0), ids)
+        if len(alone):
+            found = self.tokenizer.encode_batch_fast(strings(alone), add_special_tokens=False)
+            lists = [np.array(got.ids, dtype="<u4") for got in found]
+            self._add(alone, np.array([len(x) for x in lists]), np.concatenate(lists))
+
+    def _slots(self, chunks: pa.Array) -> np.ndarray:
+        """Slots of distinct chunks.  One that ends in marks after a letter or digit is made of
+        the chunk without them and of the marks; what is new besides goes to the library."""
+        slots = self._found(chunks)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            unseen = chunks.take(pa.array(new))
+            bodies = pc.ascii_rtrim(unseen, characters=punctuation)
+            marked = pc.match_substring_regex(bodies, _LETTER_ENDS).to_numpy(zero_copy_only=False)
+            marked &= pc.not_equal(pc.binary_length(bodies), pc.binary_length(unseen)).to_numpy(zero_copy_only=False)
+            split, whole = pa.array(marked), pa.array(~marked)
+            marks = suffixes(unseen.filter(split), pc.binary_length(bodies.filter(split)).to_numpy())
+            wanted = pa.concat_arrays([unseen.filter(whole), bodies.filter(split), marks]).dictionary_encode()
+            self._encode_fresh(wanted.dictionary.filter(pa.array(self._found(wanted.dictionary) < 0)))
+            got = self._found(wanted.dictionary)[wanted.indices.to_numpy()]
+            plain, several = int((~marked).sum()), int(marked.sum())
+            slots[new[~marked]] = got[:plain]
+            slots[new[marked]] = np.arange(len(self.at), len(self.at) + several)
+            ids, count = self._gathered(got[plain:].reshape(2, several).T.ravel())
+            self._add(unseen.filter(split), count.reshape(-1, 2).sum(1), ids)
+        return slots
+
+    def _keep(self, slots: np.ndarray) -> None:
+        """Of too many chunks only those of the latest run stay, without long ones."""
+        if len(self.known) > CACHE_CHUNKS or len(self.ids) > CACHE_IDS:
+            used = np.zeros(len(self.at), bool)
+            used[slots] = True
+            kept = [(c, slot) for c, slot in self.known.items() if used[slot] and len(c) <= LONG_CHUNK]
+            ids, count = self._gathered(np.array([slot for _, slot in kept], np.int64))
+            self.known, self.at, self.count, self.ids = {}, self.at[:0], self.count[:0], self.ids[:0]
+            self._add(pa.array([c for c, _ in kept], pa.string()), count, ids)
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where those of each begin (and end)."""
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        odd = pc.match_substring_regex(texts, _RUN_OF_WHITE).to_numpy(zero_copy_only=False)
+        special = np.zeros(len(texts), bool)
+        for token in self.added:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        apart = np.flatnonzero(odd | special)
+        plain = pc.if_else(pa.array(odd | special), "", texts) if len(apart) else texts
+        # Spaces go and the ends of lines stay: a chunk without one had a space before it,
+        # unless it is a text's first.
+        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        found, places = coded.dictionary, coded.indices.to_numpy()
+        spaced = pc.if_else(pc.starts_with(found, "\n"), found, pc.binary_join_element_wise(" ", found, ""))
+        first = np.unique(places[bounds[:-1]])
+        more = [c for i in apart if not special[i] for c in _CHUNK.findall(texts[i].as_py())]
+        cut = pa.array(more, pa.string()).dictionary_encode()
+        table = pa.concat_arrays([spaced, found.take(pa.array(first)), cut.dictionary]).dictionary_encode()
+        slots_of = self._slots(table.dictionary)[table.indices.to_numpy()]
+        slots = slots_of[places]
+        slots[bounds[:-1]] = slots_of[len(found) + np.searchsorted(first, places[bounds[:-1]])]
+        kept = slots
+        if len(apart):
+            parts, used = np.split(slots, bounds[1:-1]), 0
+            cut_slots = slots_of[len(found) + len(first) :][cut.indices.to_numpy()]
+            at, count, ids = [self.at], [self.count], [self.ids]
+            for i in apart:
+                text = texts[i].as_py()
+                if special[i]:
+                    got = self.whole.encode_batch_fast([text], add_special_tokens=False)[0]
+                    parts[i] = np.array([sum(map(len, at))])
+                    at.append(np.array([sum(map(len, ids))]))
+                    count.append(np.array([len(got.ids)]))
+                    ids.append(np.array(got.ids, dtype="<u4"))
+                else:
+                    long = len(_CHUNK.findall(text))
+                    parts[i] = cut_slots[used : used + long]
+                    used += long
+            slots = np.concatenate(parts)
+            bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            known = self.at, self.count, self.ids
+            self.at, self.count, self.ids = (np.concatenate(x) for x in (at, count, ids))
+        out, count = self._gathered(slots)
+        if len(apart):
+            self.at, self.count, self.ids = known
+        ends = np.concatenate([[0], np.cumsum(count)])
+        self._keep(kept)
+        return out, ends[bounds]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        self._turn_over()
-        bodies = [text.rstrip(" \t\r\n") for text in texts]
-        chunked = [body.split(" ") for body in bodies]
-        heads = [chunks.pop(0) for chunks in chunked]
-        self._learn_spaced(set(chain.from_iterable(chunked)).difference(self.spaced))
-        out: list[bytes] = []
-        for text, body, head, rest in zip(texts, bodies, heads, chunked):
-            found = list(map(self.spaced.__getitem__, rest))
-            if None in found or (head and head[-1].isspace()):
-                out.append(self._encode_pieces(text))
-            else:
-                tail = text[len(body) :]
-                found.insert(0, self._encode_pieces(head))
-                if tail:
-                    found.append(self._encode_pieces(tail))
-                out.append(b"".join(found))
-        return out
+        ids, bounds = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
 
     def decode_bytes(self, ids: bytes) -> bytes:
         """The bytes that ids stand for, by the byte table alone."""
@@ -240,20 +334,15 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
-def codec_of(spec: str) -> Codec:
+def codec_of(spec: str, special: bool = False) -> Codec:
     """This process's codec of a vocabulary; kept between tasks."""
-    key = hashlib.md5(spec.encode()).hexdigest()
+    key = f"{hashlib.md5(spec.encode()).hexdigest()} {special}"
     if key not in _CODECS:
-        _CODECS[key] = Codec(spec)
+        _CODECS.clear()
+        _CODECS[key] = Codec(spec, special)
     return _CODECS[key]
 
 
-def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """A batch in short runs of rows, to bound the Python strings alive at once."""
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
-
-
 def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """Encode and decode each text: doc_id, n_tokens, ids_sha256, decoded_sha256,
     n_split_chars (tokens that begin inside a character)."""
@@ -273,9 +362,11 @@ def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
         digest = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             rows = []
-            for part in slices(batch):
+            for part in slices(batch, RUN_ROWS, RUN_BYTES):
                 numbers = part.column(0).to_pylist()
-                for doc_id, ids in zip(numbers, codec.encode(part.column(1).to_pylist())):
+                got, bounds = codec.encode_column(part.column(1))
+                for doc_id, start, end in zip(numbers, bounds[:-1], bounds[1:]):
+                    ids = got[start:end].tobytes()
                     back = codec.decode_bytes(ids)
                     rows.append(
                         (doc_id, len(ids) // 4, digest(ids), digest(back), codec.split_characters(ids))

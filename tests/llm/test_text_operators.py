@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -10,6 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tallyread.llm import bpe, chat, fingerprint, html_extract, packing, pii, warc
 
@@ -49,6 +51,18 @@ def test_bpe_agrees_with_tiktoken(codec):
         assert codec.decode_bytes(ids) == text.encode()
 
 
+def test_codec_forgets_and_learns_again(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 40)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, codec = Tokenizer.from_file(path), bpe.Codec(bpe.tokenizer_json(path), special=True)
+    rng = random.Random(5)
+    parts = ["a", "the", "Then", "x" * 90, "é", "7", ",", ".", "'s", "...", "\n", "  ", "\n\n", " ", " ", " ", "<|endoftext|>"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(parts) + str(rng.choice(("", rng.randint(0, 99)))) for _ in range(rng.randint(0, 30))) for _ in range(20)]
+        for text, ids in zip(texts, codec.encode(texts)):
+            assert list(np.frombuffer(ids, "<u4")) == own.encode(text, add_special_tokens=False).ids, text
+
+
 def test_offsets_and_split_characters(codec):
     text = "a 한글 😀x"
     found = codec.encode_with_offsets(text)
@@ -162,21 +176,39 @@ def test_plan_uses_every_piece_once():
         least = -(-sum(k * v for k, v in histogram.items()) // capacity)
         assert sum(t for _, t in patterns) <= 1.05 * max(least, sum(v for k, v in histogram.items() if 2 * k > capacity)) + 2
     assert packing.plan({}, 8) == []
-    assert packing.complement([0, 0, 0, 1, 2], [4, 3], 8) == (4, 4)
-    assert packing.complement([0, 3], [1], 3) == (1, 1, 1)
+    assert packing.SumIndex([0, 0, 0, 1, 2, 0, 0, 0, 0]).complement(8) == (4, 4)
+    assert packing.SumIndex([0, 3, 0, 0]).complement(3) == (1, 1, 1)
+
+
+def test_sum_index_finds_what_there_is():
+    rng = random.Random(3)
+    for _ in range(30):
+        capacity = rng.randint(4, 24)
+        available = [0] + [rng.choice((0, 0, 1, 2, 3)) for _ in range(capacity)]
+        index = packing.SumIndex(available)
+        while any(available):
+            gap = rng.randint(1, capacity)
+            pieces = [x for x, n in enumerate(available) for _ in range(min(n, 3))]
+            there = any(sum(c) == gap for k in (1, 2, 3) for c in itertools.combinations(pieces, k))
+            found = index.complement(gap)
+            assert (found is not None) == there and (found is None or sum(found) == gap)
+            for x in found or (max(pieces),):
+                available[x] -= 1
+                assert available[x] >= 0
 
 
 def test_packed_documents(spark):
     texts = [*ODD, *["one two three"] * 60, *["word " * (i % 37) for i in range(80)], "long " * 2_100]
+    texts += ["<|endoftext|> a", "b<|endoftext|>", "x  <|endoftext|>\n\n y <|endoftext|"]
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = packing.pack_documents(documents(spark, texts), path).collect()
-    own = bpe.Codec(bpe.tokenizer_json(path))
+    own = Tokenizer.from_file(path)
     pieces = {}
     for r in rows:
         pieces.setdefault(r["doc_id"], []).append(r)
     assert sorted(pieces) == list(range(len(texts)))
     for i, text in enumerate(texts):
-        ids = own.encode([text or ""])[0] + (2).to_bytes(4, "little")
+        ids = np.array([*own.encode(text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
         parts = sorted(pieces[i], key=lambda r: r["piece"])
         assert [p["piece"] for p in parts] == list(range(len(parts)))
         assert sum(p["length"] for p in parts) == len(ids) // 4
@@ -211,6 +243,46 @@ def test_reply_trees(spark):
     assert chat.formatted_paths(messages, branches=1).count() == 3
 
 
+def test_null_and_repeated_rows_of_trees(spark):
+    rows = [
+        (None, 1, None, "user", "q", 0.0, 0), (None, 2, 1, "assistant", "r", 0.0, 1), (None, 2, 1, "assistant", "r", 0.0, 2),
+        (5, None, None, "user", "lost", 0.0, 0), (6, 1, 2, "user", "a", 0.0, 0), (6, 2, 1, "user", "b", 0.0, 0),
+        (6, 3, 2, "user", "below a cycle", 0.0, 0), (6, 4, None, "user", "free", 0.0, 0),
+    ]
+    got = {(r["tree_id"], r["leaf_id"]): r["formatted"] for r in chat.formatted_paths(spark.createDataFrame(rows, MESSAGES)).collect()}
+    assert sorted(got, key=str) == [(6, 4), (None, 2)]
+    assert got[None, 2] == "<s>[INST] user [/INST]q</s>[INST] assistant [/INST]r</s>"
+    said = [(None, 1, "user", "b"), (None, None, "user", "a"), (None, 1, "user", "b"), (3, 0, None, None)]
+    talks = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    out = {r["conv_id"]: r for r in chat.format_conversations(talks).collect()}
+    assert sorted(out, key=str) == [3, None] and [out[None]["n_turns"], out[3]["n_turns"]] == [3, 1]
+    assert out[None]["turns_sha256"] == hashlib.sha256(b"user\na\nuser\nb\nuser\nb\n").hexdigest()
+
+
+def test_random_trees_equal_brute_force(spark):
+    rng, rows = random.Random(9), []
+    for tree in range(40):
+        count = rng.randint(1, 40)
+        for node in range(count):
+            parent = rng.choice([None, rng.randrange(count), *([node - 1] * 4)]) if node else None
+            rows.append((tree, node, parent, "user", f"{tree}.{node}", 0.0, 0))
+    up = {(r[0], r[1]): r[2] for r in rows}
+    parents = {(t, p) for (t, _), p in up.items() if p is not None}
+    want = {}
+    for tree, node in up:
+        path, at = [], node
+        while at is not None and len(path) <= 40:
+            path.append(at)
+            at = up.get((tree, at))
+        if (tree, node) not in parents and at is None:
+            want[tree, node] = path
+    got = {}
+    for r in chat.root_to_leaf_paths(chat.one_row_each(spark.createDataFrame(rows, MESSAGES))).collect():
+        got.setdefault((int(r["tree_id"][1:]), r["leaf_id"]), []).append((r["steps"], r["node_id"]))
+    assert {k: [n for _, n in sorted(v)] for k, v in got.items()} == want
+    assert all([s for s, _ in sorted(v)] == list(range(len(v))) for v in got.values())
+
+
 def test_template_is_reversible(spark):
     parts = ["</s>", "<s>", "[INST]", "[/INST]", "\\", "<", "\\\\", " ok ", "\n", "[", "<\\/s>", "[\\INST]", "INST]", "s>"]
     rng = random.Random(11)
@@ -325,6 +397,55 @@ def test_main_text(spark):
     assert html_extract.extract_pages(table.where("1 = 0")).count() == 0
 
 
+ARTICLE = "<p>" + "One sentence of the article, long enough to count. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="home has-sidebar"><div class="sidebar">no</div>{}</body>',
+        '<body class="no-sidebar"><nav>no</nav><div class="post">{}</div></body>',
+        '<body><div class="page with-banner"><div class="banner">no</div>{}</div></body>',
+        '<body><article class="post tag-social category-search">{}</article><div class="comments">no<p>no</p></div></body>',
+        '<body class="sidebar"><main class="search">{}</main><div id="newsletter-signup">no</div></body>',
+        '<body><div class="search-results"><article>{}</article></div><div class="ad-slot">no</div></body>',
+        "<body><div><p title=it's hidden>no</p>{}</div></body>",
+        '<body><ol class="comment-list"><li><article class="comment">no</article></li></ol><div>{}</div></body>',
+    ],
+)
+def test_classes_do_not_delete_articles(page):
+    want = " ".join(html_extract._html.unescape(ARTICLE[3:-4]).split())
+    assert html_extract.main_text(page.format(ARTICLE)) == want
+
+
+def test_ids_of_paragraphs_and_headings_are_places():
+    page = f'<article><h2 id="side-effects">Side effects</h2><p id="market-share">Shares rose.</p>{ARTICLE}<p title=it\'s>It is.</p></article>'
+    text = html_extract.main_text(page)
+    assert text.startswith("Side effects\n\nShares rose.\n\n") and text.endswith("\n\nIt is.")
+
+
+def test_deep_containers_have_paths_of_their_own():
+    page = "<div>" * 400 + '<div class="a1">' + ARTICLE + "</div>" + "</div>" * 400
+    found = html_extract.candidates(html_extract.parse(page))
+    paths = html_extract.generalised(found)
+    assert len(set(paths)) == len(found) == 402
+    again = html_extract.candidates(html_extract.parse(page.replace("a1", "a27")))
+    assert html_extract.generalised(again) == paths
+
+
+def test_pages_table_equals_plain_extraction(spark):
+    """The article of each page by plain patterns, which know the pages' own template."""
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(table).collect()}
+    assert len(got) == table.count()
+    for r in table.collect():
+        inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        blocks = re.split(r"</?(?:p|h1)>", re.sub(r"<!--.*?-->", "", inner, flags=re.S))
+        plain = [re.sub(r"</?b>", "", b.replace("<br>", " ")) for b in blocks]
+        texts = [" ".join(html_extract._html.unescape(b).split()) for b in plain]
+        assert got[r["page_id"]] == "\n\n".join(t for t in texts if t)
+
+
 def test_hosts_agree_on_paths(spark):
     body = "<html><body><div class='left-%d'><p>%s</p></div><div class='right'><p>%s</p></div></body></html>"
     pages = [(i, "https://h.example.org/", body % (i, "main " * 300, "side " * 60)) for i in range(9)]
