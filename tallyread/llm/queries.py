@@ -176,9 +176,9 @@ ORACLE_SQL = {
                  regexp_replace(coalesce(text, ''), '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g') as text_out
           from rows_)
         select conv_id, count(*) as n_turns,
-          sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+          sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
           cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
-          sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
+          sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '')) as loss_sha256,
           cast(3 + sum(7 + length(role_out) + 8 + length(text_out) + 4) as bigint) as formatted_chars
         from said group by conv_id
     """,
