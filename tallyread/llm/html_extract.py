@@ -16,15 +16,16 @@ gives no rows; pages are read whole.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import slices
+from .common import slices
 from .common import materialise
 
 #: Elements by how they are treated.
@@ -42,22 +43,28 @@ CONTAINERS = frozenset("html body div section article main td center blockquote"
 CLOSED_BY_BLOCK = frozenset("p".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table div section article main body html td aside nav".split())
-#: Words in classes, ids and roles of what is no main text.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|"
-    r"promotion|sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|header|masthead|"
-    r"comment|comments|respond|reply|replies|discussion|disqus|share|sharing|social|related|recommended|"
-    r"newsletter|subscribe|subscription|signup|login|cookie|cookies|consent|gdpr|notice|notification|alert|"
-    r"popup|modal|overlay|disclaimer|copyright|pagination|pager|toolbar|widget|search|skip|hidden|"
-    r"complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
+#: Words of what is no main text.  A class or role that is one of them marks its
+#: element whatever that holds; one with a further part (``sidebar-left``, ``top-banner``) marks
+#: an element that holds no article.
+BOILERPLATE = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav "
+    "navbar navigation breadcrumb breadcrumbs footer header masthead comment comments respond replies discussion "
+    "disqus share sharing social related recommended newsletter subscribe subscription signup login cookie cookies "
+    "consent gdpr notice notification alert popup modal overlay disclaimer copyright pagination pager toolbar widget "
+    "widgets search skip hidden complementary contentinfo".split()
 )
-HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+#: First parts after which a second says what an element has, lacks or is about.
+MODIFIERS = frozenset("has no not with without is tag category cat topic type format hide show js".split())
+#: Elements that neither a class nor a role makes boilerplate, and those of which an id says
+#: nothing since it only names a place.
+NEVER = frozenset("html body main".split())
+ANCHORS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd span a td th tr".split())
+_PARTS = re.compile(r"[-_]+")
 FAVOURED = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|body|text|main)(?:$|[\s_-])", re.I)
 ELEMENT_WEIGHT = {"article": 1.5, "main": 1.3, "body": 0.7, "html": 0.6}
 #: The least share of a page's good text in a container that gets votes.
 LEAST_SHARE = 0.6
-PATH_DEPTH = 12
+SPELLED = 12
 #: Containers that the templates of a host share.
 SHARED = frozenset(("html", "body"))
 #: Paths up to which the votes are broadcast; beyond, a salted join brings each page the
@@ -65,25 +72,60 @@ SHARED = frozenset(("html", "body"))
 BROADCAST_PATHS = 160_000
 SALTS = 64
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# A quote opens a value only after an equals sign.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|"
+    r"<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _DIGITS = re.compile(r"\d+")
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
+def marked(words: Iterable[str]) -> int:
+    """2 if a word of classes, ids or roles is boilerplate, 1 if one has it as a part."""
+    found = 0
+    for word in words:
+        word = word.lower()
+        if word in BOILERPLATE:
+            return 2
+        parts = _PARTS.split(word)
+        if len(parts) > 1 and parts[0] not in MODIFIERS and (parts[0] in BOILERPLATE or parts[-1] in BOILERPLATE):
+            found = 1
+    return found
+
+
 class Node:
     """An element: its children are nodes and texts."""
 
-    __slots__ = ("tag", "marks", "hidden", "children", "parent")
+    __slots__ = ("tag", "marks", "mark", "hidden", "children", "parent")
 
-    def __init__(self, tag: str, marks: str = "", hidden: bool = False, parent: Node | None = None):
-        self.tag, self.marks, self.hidden, self.parent = tag, marks, hidden, parent
+    def __init__(self, tag: str, classes: str = "", own_id: str = "", hidden: bool = False, parent: Node | None = None):
+        self.tag, self.hidden, self.parent = tag, hidden, parent
+        self.marks = f"{classes} {own_id}".strip() if own_id else classes
+        self.mark = marked((classes if tag in ANCHORS else self.marks).split()) if self.marks else 0
         self.children: list[Node | str] = []
 
+    def holds_article(self) -> bool:
+        """Whether an article or main element that is not boilerplate itself is inside."""
+        stack = [c for c in self.children if isinstance(c, Node)]
+        while stack:
+            node = stack.pop()
+            if node.tag == "main" or node.tag == "article" and node.mark < 2:
+                return True
+            stack.extend(c for c in node.children if isinstance(c, Node))
+        return False
+
     def skipped(self) -> bool:
-        return self.tag in SKIPPED or self.hidden or bool(self.marks and BOILERPLATE.search(self.marks))
+        """Whether it is no part of the main text.  Of an article only a whole word can say so."""
+        if self.tag in SKIPPED or self.hidden:
+            return True
+        if not self.mark or self.tag in NEVER:
+            return False
+        return self.mark == 2 or self.tag != "article" and not self.holds_article()
 
 
 def parse(page: str) -> Node:
@@ -126,12 +168,13 @@ def parse(page: str) -> Node:
             while up.tag in SIBLINGS[name] and up.parent is not None:
                 node = up.parent
                 up = node
-        marks, hidden = "", False
+        classes, own_id, hidden = "", "", False
         if match[3] and not match[3].isspace():
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(match[3])}
-            marks = " ".join(found[k] for k in ("class", "id", "role") if found.get(k))
+            classes = " ".join(found[k] for k in ("class", "role") if found.get(k))
+            own_id = found.get("id", "")
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", "")))
-        child = Node(name, marks, hidden, node)
+        child = Node(name, classes, own_id, hidden, node)
         node.children.append(child)
         if name in RAW:
             end = _RAW_END[name].search(page, at)
@@ -143,14 +186,35 @@ def parse(page: str) -> Node:
     return root
 
 
-def generalised(node: Node) -> str:
-    """The path of elements and classes, without digits, from at most ``PATH_DEPTH`` up."""
-    parts = []
-    while node is not None and len(parts) < PATH_DEPTH:
-        marks = ".".join(sorted(_DIGITS.sub("#", node.marks).split()))
-        parts.append(f"{node.tag}.{marks}" if marks else node.tag)
+def generalised(found: list[tuple[Node, float]]) -> list[str]:
+    """The paths of a page's candidates: elements and classes from the root on, without digits;
+    below ``SPELLED`` levels, the container itself and a digest of all that is above it.
+
+    Candidates hold most of a page's text each, so they stand inside one another and their
+    paths come from one way up.
+    """
+    if not found:
+        return []
+    way, node = [], max(found, key=lambda x: _depth(x[0]))[0]
+    while node is not None:
+        way.append(node)
         node = node.parent
-    return ">".join(reversed(parts))
+    names, path = {}, ""
+    for level, node in enumerate(reversed(way)):
+        marks = ".".join(sorted(_DIGITS.sub("#", node.marks).split()))
+        step = f"{node.tag}.{marks}" if marks else node.tag
+        if level >= SPELLED:
+            path = hashlib.blake2b(path.encode(), digest_size=8).hexdigest()
+        path = f"{path}>{step}" if path else step
+        names[id(node)] = path
+    return [names[id(node)] for node, _ in found]
+
+
+def _depth(node: Node) -> int:
+    depth = 0
+    while node.parent is not None:
+        node, depth = node.parent, depth + 1
+    return depth
 
 
 def candidates(root: Node) -> list[tuple[Node, float]]:
@@ -203,7 +267,7 @@ def blocks(container: Node) -> list[str]:
             flush()
         elif isinstance(item, str):
             current.append(item)
-        elif headed and not item.hidden and (item.tag == "header" or HEADER.search(item.marks)):
+        elif headed and not item.hidden and (item.tag == "header" or "header" in item.marks.lower().split()):
             # An article's own header gives its headings; what else it says is no text.
             flush()
             stack.append(None)
@@ -225,7 +289,7 @@ def blocks(container: Node) -> list[str]:
     return out
 
 
-def main_text(page: str, agreed: dict[str, float] | None = None) -> str:
+def main_text(page: str, agreed: dict[str, int] | None = None) -> str:
     """The main text of a page; ``agreed`` has the votes of its host's paths."""
     root = parse(page)
     found = candidates(root)
@@ -233,7 +297,7 @@ def main_text(page: str, agreed: dict[str, float] | None = None) -> str:
         return ""
     best = max(found, key=lambda x: x[1])[0]
     if agreed:
-        voted = [(agreed.get(generalised(n), 0.0), s, n) for n, s in found]
+        voted = [(agreed.get(path, 0), s, n) for path, (n, s) in zip(generalised(found), found)]
         inner = [x for x in voted if x[0] > 0 and x[2].tag not in SHARED]
         top = max(inner or voted, key=lambda x: x[:2])
         if top[0] > 0:
@@ -246,24 +310,25 @@ def host_of(url):
 
 
 def path_votes(pages: DataFrame) -> DataFrame:
-    """(host, path, votes) over all pages."""
-    out = pa.schema([("host", pa.string()), ("path", pa.string()), ("votes", pa.float64())])
+    """(host, path, votes) over all pages; votes are thousandths of scores, as integers, so
+    that their sums do not depend on an order."""
+    out = pa.schema([("host", pa.string()), ("path", pa.string()), ("votes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes: dict[tuple[str, str], float] = {}
+            votes: dict[tuple[str, str], int] = {}
             for part in slices(batch):
                 for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for node, score in candidates(parse(page)):
-                        key = (host, generalised(node))
-                        votes[key] = votes.get(key, 0.0) + score
+                    found = candidates(parse(page))
+                    for path, (_, score) in zip(generalised(found), found):
+                        votes[host, path] = votes.get((host, path), 0) + round(1_000 * score)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in votes]), pa.array([k[1] for k in votes]), pa.array(list(votes.values()), pa.float64())],
+                [pa.array([k[0] for k in votes]), pa.array([k[1] for k in votes]), pa.array(list(votes.values()), pa.int64())],
                 schema=out,
             ) if votes else pa.RecordBatch.from_pylist([], schema=out)
 
     rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    cast = rows.mapInArrow(run, "host string, path string, votes double")
+    cast = rows.mapInArrow(run, "host string, path string, votes long")
     return cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
 
 
@@ -274,7 +339,7 @@ def page_votes(rows: DataFrame, votes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 512):
-                found = [sorted({generalised(n) for n, _ in candidates(parse(page))}) for page in part.column(2).to_pylist()]
+                found = [sorted(set(generalised(candidates(parse(page))))) for page in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(found, pa.list_(pa.string()))], names=["host", "digest", "own"]
                 )
@@ -304,7 +369,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     )
     known = None
     if votes.count() <= BROADCAST_PATHS:
-        by_host: dict[str, dict[str, float]] = {}
+        by_host: dict[str, dict[str, int]] = {}
         for r in votes.collect():
             by_host.setdefault(r["host"], {})[r["path"]] = r["votes"]
         known = pages.sparkSession.sparkContext.broadcast(by_host)
