@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices, whole_text
+from .common import begin, caches, in_arrow, slices, whole_text
 
 #: Fixed value: the split pattern that precedes the merges.
 SPLIT_PATTERN = (
@@ -42,7 +42,7 @@ SPLIT_PATTERN = (
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Chunks, and ids of chunks, beyond which a worker keeps only the latest run's, and the
 #: length of the longest of these.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 CACHE_IDS = 4_000_000
 LONG_CHUNK = 64
 #: Rows, and bytes of text unless one row has more, of a run that is encoded at once.
@@ -153,7 +153,7 @@ class Codec:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
-        self.whole = Tokenizer.from_str(spec) if special else None
+        self.spec, self.whole = spec, None
         added = self.tokenizer.get_added_tokens_decoder().values() if special else ()
         self.added = [token.content for token in added]
         self.known: dict[str, int] = {}
@@ -239,6 +239,14 @@ class Codec:
             self.known, self.at, self.count, self.ids = {}, self.at[:0], self.count[:0], self.ids[:0]
             self._add(pa.array([c for c, _ in kept], pa.string()), count, ids)
 
+    def _encode_whole(self, text: str):
+        """A text with added tokens, by a tokenizer that is made when the first one comes."""
+        from tokenizers import Tokenizer
+
+        if self.whole is None:
+            self.whole = Tokenizer.from_str(self.spec)
+        return self.whole.encode_batch_fast([text], add_special_tokens=False)[0]
+
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where those of each begin (and end)."""
         if not len(texts):
@@ -271,7 +279,7 @@ class Codec:
             for i in apart:
                 text = texts[i].as_py()
                 if special[i]:
-                    got = self.whole.encode_batch_fast([text], add_special_tokens=False)[0]
+                    got = self._encode_whole(text)
                     parts[i] = np.array([sum(map(len, at))])
                     at.append(np.array([sum(map(len, ids))]))
                     count.append(np.array([len(got.ids)]))
@@ -332,10 +340,12 @@ class Codec:
 
 
 _CODECS: dict[str, Codec] = {}
+caches["bpe"] = _CODECS.clear
 
 
 def codec_of(spec: str, special: bool = False) -> Codec:
     """This process's codec of a vocabulary; kept between tasks."""
+    begin("bpe")
     key = f"{hashlib.md5(spec.encode()).hexdigest()} {special}"
     if key not in _CODECS:
         _CODECS.clear()
@@ -377,7 +387,8 @@ def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
             )
 
     columns = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().alias("text"))
-    return columns.mapInArrow(
+    return in_arrow(
+        columns,
         run,
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split_chars long",
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -102,6 +103,32 @@ def settled(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+#: Rows of an Arrow batch of texts, at most.
+BATCH_ROWS = 1_000
+#: What operators keep in a worker between tasks: a function that empties it, by operator.
+caches: dict[str, Callable[[], None]] = {}
+
+
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with batches that are small in memory: the session's rows of a batch
+    are lowered to ``BATCH_ROWS`` where they are more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
+def begin(operator: str) -> None:
+    """At the start of an operator's task: empty what other operators keep in this worker and
+    give memory back that is free."""
+    for name, empty in caches.items():
+        if name != operator:
+            empty()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

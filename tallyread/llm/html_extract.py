@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
-from .common import materialise
+from .common import in_arrow, materialise, settled, slices
 
 #: Elements by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -328,7 +327,7 @@ def path_votes(pages: DataFrame) -> DataFrame:
             ) if votes else pa.RecordBatch.from_pylist([], schema=out)
 
     rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    cast = rows.mapInArrow(run, "host string, path string, votes long")
+    cast = in_arrow(rows, run, "host string, path string, votes long")
     return cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
 
 
@@ -345,7 +344,7 @@ def page_votes(rows: DataFrame, votes: DataFrame) -> DataFrame:
                 )
 
     marked = rows.withColumn("digest", F.sha2("html", 256))
-    own = marked.select("host", "digest", "html").mapInArrow(run, "host string, digest string, own array<string>")
+    own = in_arrow(marked.select("host", "digest", "html"), run, "host string, digest string, own array<string>")
     salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")
     wanted = own.select("host", "digest", F.explode("own").alias("path")).distinct().withColumn("salt", salt)
     salted = votes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -392,4 +391,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 columns = [got["page_id"], got["url"], texts, [len(t) for t in texts]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], schema=out)
 
-    return given.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_arrow(given, run, "page_id long, url string, text string, n_chars long")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import RUN_BYTES, RUN_ROWS, codec_of, tokenizer_json
-from .common import materialise, settled, slices, whole_text
+from .common import in_arrow, materialise, settled, slices, whole_text
 
 #: Rows of a rank bucket, on average.
 BUCKET_ROWS = 1_000
@@ -68,7 +68,7 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: i
             )
 
     columns = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().alias("text"))
-    return columns.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_arrow(columns, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class SumIndex:

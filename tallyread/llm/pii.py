@@ -21,16 +21,17 @@ in time proportional to the text (possessive groups).
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .bpe import slices
-from .common import whole_text
+from .common import begin, in_arrow, slices, whole_text
 
 #: Kinds in their order, and the base ones among them.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -186,6 +187,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         return (doc_id, *counts, digest, listed, max((x for *_, x in spans), default=0.0))
 
     def run(batches):
+        begin("pii")
         for batch in batches:
             rows = []
             for part in slices(batch):
@@ -196,7 +198,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
             )
 
     columns = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().alias("text"))
-    return columns.mapInArrow(
+    return in_arrow(
+        columns,
         run,
         "doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
         "base_sha256 string, spans string, best_score double",
@@ -206,14 +209,27 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """The documents with their personal data masked and n_chars counted anew.
 
-    Columns and rows stay; a null text stays null with its n_chars."""
+    Columns and rows stay, repeated rows too; a null text stays null with its n_chars, an
+    empty one stays empty; an empty table gives none."""
 
-    @F.pandas_udf("string")
-    def masked(texts):
-        return texts.map(lambda t: None if t is None else mask(t, find_spans(t)))
+    names = [name.lower() for name in docs.columns]
+    at = names.index("text")
+    counted = names.index("n_chars") if "n_chars" in names else None
+    schema = copy.deepcopy(docs.schema)
+    schema.fields[at].dataType = StringType()
 
-    out = docs.withColumn("text", masked(F.col("text").cast("string")))
-    if "n_chars" in docs.columns:
-        counted = F.coalesce(F.length("text").cast("long"), F.col("n_chars"))
-        out = out.withColumn("n_chars", counted)
-    return out.select(*docs.columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("pii")
+        for batch in batches:
+            for part in slices(batch):
+                texts = part.column(at).cast(pa.string()).to_pylist()
+                masked = [None if t is None else mask(t, find_spans(t)) for t in texts]
+                columns = part.columns
+                columns[at] = pa.array(masked, pa.string())
+                if counted is not None:
+                    lengths = pa.array([None if t is None else len(t) for t in masked], pa.int64())
+                    columns[counted] = pc.coalesce(lengths.cast(columns[counted].type), columns[counted])
+                yield pa.RecordBatch.from_arrays(columns, names=docs_names)
+
+    docs_names = docs.columns
+    return in_arrow(docs, run, schema)

@@ -10,11 +10,13 @@ document's score is that of its worst window; all windows of a text are scored.
 Evidence is the z-score of a spelling's log-odds between toxic and other documents of the
 sample; in training, a document's own fold is left out of it.  Windows of toxic documents
 are not labelled: rounds alternate between choosing each one's worst windows with the
-network of the round before (with the evidence alone at first) and training on them.
+network of the round before (with the evidence alone at first) and training on them:
+three rounds of two passes each.
 
 The classifier is fitted on at most ``SAMPLE`` toxic and ``SAMPLE_OTHERS`` other documents of
-at most ``SAMPLE_CHARS`` code points, the first by a hash of doc_id; that is the only
-bound, and it bounds the driver's work and memory.  Every text is scored whole.
+any length, the first by a hash of doc_id; of a text of more than ``SAMPLE_CHARS`` code
+points so many are taken, in stretches that are spread evenly over all of it.  These
+bounds hold the driver's work and memory.  Every text is scored whole.
 
 Defined results: null and empty texts are scored as a text without words, which has one
 empty window; long words are read in pieces of ``LETTERS`` letters, none left out;
@@ -30,25 +32,29 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import slices
-from .common import whole_text
+from .common import begin, in_arrow, slices, whole_text
 
 WINDOW = 32
 STRIDE = WINDOW // 2
 LETTERS = 12
 SAMPLE = 600
 SAMPLE_OTHERS = 900
-SAMPLE_CHARS = 6_000
+SAMPLE_CHARS, STRETCH = 40_000, 2_000
+#: Windows of a toxic document that are trained on in a pass, at most an eighth of them.
+MOST_WORST = 12
 FOLDS = 5
 EVIDENCE_BITS = 18
 WORD_BUCKETS = 4_096
 LETTER_KINDS = 256
 LETTER_UNITS = 6
 WORD_UNITS = 8
-_KEPT_WORDS = 200_000
+#: Documents and bytes of text that are scored at once, unless one document has more.
+RUN_ROWS, RUN_BYTES = 128, 1 << 20
+_KEPT_WORDS = 150_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -230,7 +236,7 @@ class Network:
     parameters: dict[str, np.ndarray]
     evidence: np.ndarray
     known: dict[str, int] = field(default_factory=dict)
-    projected: list = field(default_factory=list)
+    table: np.ndarray = field(default_factory=lambda: np.zeros((1_024, 6 * WORD_UNITS), np.float32))
 
     def __getstate__(self):
         return {"parameters": self.parameters, "evidence": self.evidence}
@@ -255,17 +261,19 @@ class Network:
     def _rows_of(self, words: list[str]) -> None:
         """Projected inputs of words not met lately."""
         if len(self.known) > _KEPT_WORDS:
-            self.known, self.projected = {}, []
+            self.known = {}
         fresh = list(set(words).difference(self.known))
         for at in range(0, len(fresh), 8_192):
             part = fresh[at : at + 8_192]
             vectors, _ = self.word_inputs(spell(part), self.evidence)
             both = np.concatenate(_project(self.parameters, "words", vectors), axis=1)
-            base = sum(len(x) for x in self.projected)
-            self.known.update(zip(part, range(base, base + len(part))))
-            self.projected.append(both)
-        if len(self.projected) > 1:
-            self.projected = [np.concatenate(self.projected)]
+            base, end = len(self.known), len(self.known) + len(part)
+            if end > len(self.table):
+                larger = np.zeros((max(end, 2 * len(self.table)), 6 * WORD_UNITS), np.float32)
+                larger[:base] = self.table[:base]
+                self.table = larger
+            self.table[base:end] = both
+            self.known.update(zip(part, range(base, end)))
 
     def window_scores(self, texts: list[str]) -> list[np.ndarray]:
         """Logits of all windows of each text."""
@@ -276,11 +284,11 @@ class Network:
             rows = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
             spans.append(windows_of(len(words)))
             places += [rows[a:b] for a, b in spans[-1]]
-        table = self.projected[0] if self.projected else np.zeros((1, 6 * WORD_UNITS), np.float32)
+        table = self.table
         out = np.empty(len(places), np.float32)
         order = np.argsort([len(x) for x in places], kind="stable")
-        for at in range(0, len(order), 2_048):
-            chosen = order[at : at + 2_048]
+        for at in range(0, len(order), 1_024):
+            chosen = order[at : at + 1_024]
             longest = max(1, max(len(places[i]) for i in chosen))
             index = np.zeros((longest, len(chosen)), np.int64)
             mask = np.zeros((longest, len(chosen)), np.float32)
@@ -356,7 +364,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 0, rounds: int = 3, epo
             chosen: list[tuple[int, int, int]] = []
             for i, w in enumerate(worst):
                 if labels[i]:
-                    take = np.argsort(-w, kind="stable")[: max(1, len(w) // 8)]
+                    take = np.argsort(-w, kind="stable")[: min(MOST_WORST, max(1, len(w) // 8))]
                 else:
                     hard = np.flatnonzero(w >= hardest)[:40]
                     take = np.unique(np.concatenate([[w.argmax()], hard, rng.integers(0, len(w), 1)]))
@@ -478,15 +486,25 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
         .agg(F.max("toxic").cast("int").alias("toxic"))
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    sizes = texts.select("doc_id", F.length("text").alias("size")).groupBy("doc_id").agg(F.max("size").alias("size"))
-    fit_for = named.join(sizes.where(F.col("size").between(1, SAMPLE_CHARS)), "doc_id")
+    fit_for = named.join(texts.where("text <> ''").select("doc_id").distinct(), "doc_id")
     chosen = []
     for toxic, most in ((1, SAMPLE), (0, SAMPLE_OTHERS)):
         first = fit_for.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen += [(r["doc_id"], toxic) for r in first.select("doc_id").collect()]
     # The chosen ids are at most SAMPLE + SAMPLE_OTHERS; with them texts are fetched by a scan.
     ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")
-    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    parts = SAMPLE_CHARS // STRETCH
+    stretches = F.transform(
+        F.sequence(F.lit(0), F.lit(parts - 1)),
+        lambda i: F.substr("text", (i * (F.length("text") - STRETCH) / (parts - 1)).cast("int") + 1, F.lit(STRETCH)),
+    )
+    taken = F.when(F.length("text") <= SAMPLE_CHARS, F.col("text")).otherwise(F.array_join(stretches, " "))
+    rows = (
+        texts.join(F.broadcast(ids), "doc_id")
+        .select("doc_id", "toxic", taken.alias("text"))
+        .groupBy("doc_id", "toxic")
+        .agg(F.min("text").alias("text"))
+    )
     got = sorted(rows.collect(), key=lambda r: (r["toxic"], r["doc_id"]))
     return [(r["text"], r["toxic"]) for r in got]
 
@@ -504,14 +522,15 @@ def score_documents(docs: DataFrame, network: Network) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         model = shipped.value
         for batch in batches:
-            for part in slices(batch, 128):
+            for part in slices(batch, RUN_ROWS, RUN_BYTES):
                 scores = model.scores(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], schema=out)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return plain.mapInArrow(run, "doc_id long, score double").select(
+    return in_arrow(plain, run, "doc_id long, score double").select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
@@ -520,20 +539,21 @@ def score_documents(docs: DataFrame, network: Network) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, network: Network) -> DataFrame:
-    """The documents whose score is below one half, all their columns kept."""
+    """The documents whose score is below one half, with all their columns; null and empty
+    texts are scored as such, and repeated rows stay or go together."""
     shipped = docs.sparkSession.sparkContext.broadcast(network)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
+    at = [name.lower() for name in docs.columns].index("text")
 
-        model, out = shipped.value, []
-        plain = texts.fillna("").tolist()
-        for at in range(0, len(plain), 128):
-            out += model.scores(plain[at : at + 128]).tolist()
-        return pd.Series(out, dtype="float64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
+        model = shipped.value
+        for batch in batches:
+            for part in slices(batch, RUN_ROWS, RUN_BYTES):
+                texts = pc.fill_null(part.column(at).cast(pa.string()), "").to_pylist()
+                yield part.filter(pa.array(model.scores(texts) < 0.5))
 
-    return docs.where(score(F.col("text").cast("string")) < 0.5)
+    return in_arrow(docs, run, docs.schema)
 
 
 def remainder(doc_id: int | None) -> int | None:
