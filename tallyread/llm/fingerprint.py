@@ -45,16 +45,16 @@ RANGE_ROWS, MOST_RANGES = 1_000, 20_000
 def terms(text: Column) -> Column:
     """Hashes of all runs of five words, repeats included."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+    def runs(h: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(h) - WORDS, F.lit(0)))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + n) for n in range(WORDS)]))
+
     return let(
-        words,
-        lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>"))
-        .when(F.size(w) < WORDS, F.array(F.xxhash64(w)))
-        .otherwise(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size(w) - (WORDS - 1), F.lit(1))),
-                lambda i: F.xxhash64(F.slice(w, i, WORDS)),
-            )
-        ),
+        F.transform(words, lambda w: F.xxhash64(w)),
+        lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>"))
+        .when(F.size(h) < WORDS, F.array(F.xxhash64(h)))
+        .otherwise(runs(h)),
     )
 
 
