@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyread.llm import jaccard_join, packing, pii, toxicity
-from tallyread.llm.common import materialise, table
+from tallyread.llm.common import settled, table
 from tallyread.llm.queries import VOCABULARY
 
 
@@ -51,5 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a data folder."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        docs = settled(stage)(spark, docs, sf_dir)
     return docs
