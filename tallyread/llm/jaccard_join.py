@@ -37,26 +37,28 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import slices
-from .common import materialise, whole_text
+from .common import begin, caches, in_arrow, materialise, settled, slices, whole_text
 
 WORDS = 5
 THRESHOLD = 0.8
 EMBEDDING = 128
 #: Expected number of paths that a set goes down at each node.
 CHOSEN = 4.0
-#: Sets that one task compares with each other; larger buckets are split, larger cells go
-#: in blocks.
-BUCKET = 400
+#: Sets that one task compares with each other: larger buckets are split, larger cells go in
+#: blocks of half as many.
+BUCKET, CELL = 400, 800
 MARGIN = 0.15
 #: Splits after the first; what is still large then is taken as it is.
 DEPTH = 3
-#: Cells' members up to which they are broadcast to the scan of texts.
+#: Copies of one text above which they are classed apart from the rest.
+HOT_COPIES = 500
+#: Cells' members up to which they are broadcast to the scan of texts, and texts with more
+#: copies than ``HOT_COPIES`` up to which they are broadcast to the scan of their copies.
 BROADCAST_ROWS = 200_000
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 200_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,6 +71,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _words: dict[str, int] = {}
+caches["jaccard"] = _words.clear
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -139,23 +142,27 @@ def _embeddings(column: pa.Array) -> np.ndarray:
 
 
 def embed_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, words_key, n_grams, embedding) of documents that have words."""
-    out = pa.schema([("doc_id", pa.int64()), ("words_key", pa.binary()), ("n_grams", pa.int32()), ("embedding", pa.binary())])
+    """(doc_id, words_key, n_grams, embedding, brief) of documents that have words; brief has the
+    lowest byte of each value of the embedding."""
+    out = pa.schema([("doc_id", pa.int64()), ("words_key", pa.binary()), ("n_grams", pa.int32()), ("embedding", pa.binary()), ("brief", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard")
         for batch in batches:
             for part in slices(batch, 1_024):
-                rows = ([], [], [], [])
+                rows: tuple[list, ...] = ([], [], [], [], [])
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     grams = ngrams(text)
                     if len(grams):
                         key = hashlib.blake2b(" ".join(text.split()).encode(), digest_size=16).digest()
-                        for column, value in zip(rows, (doc_id, key, len(grams), embedding(grams).tobytes())):
+                        values = embedding(grams)
+                        brief = values.astype(np.uint8).tobytes()
+                        for column, value in zip(rows, (doc_id, key, len(grams), values.tobytes(), brief)):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, out)], schema=out)
 
     plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return plain.mapInArrow(run, "doc_id long, words_key binary, n_grams int, embedding binary")
+    return in_arrow(plain, run, "doc_id long, words_key binary, n_grams int, embedding binary, brief binary")
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -210,13 +217,13 @@ def _per_group(rows: DataFrame, work: Callable, schema: pa.Schema, ddl: str) ->
 
 
 def in_blocks(rows: DataFrame, size: str) -> DataFrame:
-    """Adds ``key`` and ``side``: members of a group of at most ``BUCKET`` share one key;
+    """Adds ``key`` and ``side``: members of a group of at most ``CELL`` share one key;
     a larger group is dealt into blocks, and each two blocks (and each alone) share one.
 
     ``rows`` has group, id and the group's size in the column ``size``.
     """
-    n = F.ceil(F.col(size) / F.lit(BUCKET / 2)).cast("int")
-    blocks = F.when(F.col(size) <= BUCKET, F.lit(1)).otherwise(n)
+    n = F.ceil(F.col(size) / F.lit(CELL / 2)).cast("int")
+    blocks = F.when(F.col(size) <= CELL, F.lit(1)).otherwise(n)
     dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return (
@@ -229,34 +236,41 @@ def in_blocks(rows: DataFrame, size: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for the ids of (id, root) edges: the smallest id connected to each.
 
-    Each round every id takes the smallest root among its neighbours' and then that
-    root's own root; rounds end when nothing changes.
+    Each round every id keeps the edge to its smallest neighbour below and hands its other
+    ones on: from those neighbours to the smallest.  So edges move to ever smaller ids and
+    meet there as one, and a round without any to hand on leaves one parent for each id,
+    whose own parents are followed in steps that double.
     """
-    edges = materialise(edges.where("id <> root").distinct())
-    if edges.isEmpty():
+    edges = materialise(
+        edges.where("id <> root")
+        .select(F.greatest("id", "root").alias("id"), F.least("id", "root").alias("root"))
+        .distinct()
+    )
+    labels = None
+    while not edges.isEmpty():
+        least = F.min("root").over(Window.partitionBy("id"))
+        hooked = materialise(edges.select("id", "root", least.alias("least")))
+        own = hooked.where("root = least").select("id", "root")
+        onward = hooked.where("root > least").select(F.col("root").alias("id"), F.col("least").alias("root")).distinct()
+        labels = materialise(own if labels is None else labels.join(own, "id", "left_anti").unionByName(own))
+        # An id that has a parent already hands it on with the new ones.
+        again = labels.join(onward.select("id").distinct(), "id", "left_semi")
+        edges = materialise(onward.unionByName(again).distinct())
+    if labels is None:
         return edges
-    both = materialise(edges.unionByName(edges.select(F.col("root").alias("id"), F.col("id").alias("root"))).distinct())
-    labels = materialise(both.groupBy("id").agg(F.least(F.min("root"), F.col("id")).alias("label")))
     while True:
-        near = both.join(labels.select(F.col("id").alias("root"), F.col("label").alias("theirs")), "root")
-        least = near.groupBy("id").agg(F.min("theirs").alias("theirs"))
-        taken = labels.join(least, "id").select("id", F.least("label", "theirs").alias("new"), "label")
-        above = labels.select(F.col("id").alias("new"), F.col("label").alias("further"))
-        jumped = materialise(
-            taken.join(above, "new", "left").select(
-                "id", "label", F.least("new", F.coalesce("further", F.col("new"))).alias("new")
-            )
-        )
-        changed = not jumped.where("new <> label").isEmpty()
-        labels = jumped.select("id", F.col("new").alias("label"))
-        if not changed:
-            return labels.withColumnRenamed("label", "root")
+        above = labels.select(F.col("id").alias("root"), F.col("root").alias("further"))
+        jumped = materialise(labels.join(above, "root", "left").select("id", "root", "further"))
+        if jumped.where("further is not null").isEmpty():
+            roots = labels.select("root").distinct()
+            return labels.unionByName(roots.select(F.col("root").alias("id"), "root"))
+        labels = jumped.select("id", F.coalesce("further", "root").alias("root"))
 
 
 def _near_in_bucket(least_equal: int) -> Callable:
     def work(group: pa.Table):
         ids = group.column(1).to_numpy()
-        values = _embeddings(group.column(2))
+        values = np.frombuffer(b"".join(group.column(2).to_pylist()), np.uint8).reshape(-1, EMBEDDING)
         near = np.zeros((len(ids), len(ids)), bool)
         for i in range(len(ids)):
             near[i] = (values == values[i]).sum(1) >= least_equal
@@ -268,9 +282,9 @@ def _near_in_bucket(least_equal: int) -> Callable:
 def cells(classes: DataFrame, recall: float, threshold: float) -> DataFrame:
     """(id, root): cells of classes that chosen paths find near one another.
 
-    ``classes`` is a written table of id and embedding.
+    ``classes`` is a written table of id, embedding and brief.
     """
-    runs = runs_for(recall, threshold, CHOSEN, 0)
+    runs = runs_for(recall, threshold, CHOSEN, DEPTH)
     start = mix(np.arange(1, runs + 1, dtype=np.uint64) * _PRIME)
     path_schema = pa.schema([("group", pa.int64()), ("id", pa.int64()), ("parent", pa.int64())])
 
@@ -316,7 +330,8 @@ def cells(classes: DataFrame, recall: float, threshold: float) -> DataFrame:
         taken.append(large.join(dense, "group", "left_semi"))
         kept = judged.where(F.coalesce("most", F.lit(0)) * 2 < F.col("size")).select(F.col("group").alias("parent"))
         frontier = split.join(kept, "parent", "left_semi").select("group", "id")
-    rows = reduce(DataFrame.unionByName, small).join(vectors, "id").select("key", "id", "embedding")
+    # The lowest bytes agree wherever the values do, so that no near pair is lost by them.
+    rows = reduce(DataFrame.unionByName, small).join(classes.select("id", "brief"), "id").select("key", "id", "brief")
     out = pa.schema([("id", pa.int64()), ("root", pa.int64())])
     least_equal = math.ceil((threshold - MARGIN) * EMBEDDING)
     edges = [_per_group(rows, _near_in_bucket(least_equal), out, "id long, root long")]
@@ -370,6 +385,7 @@ def linked(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     out = pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("size", pa.int64()), ("copies", pa.int64()), ("grams", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard")
         for batch in batches:
             for part in slices(batch, 256):
                 grams = [ngrams(text).tobytes() for text in part.column(4).to_pylist()]
@@ -398,6 +414,18 @@ def one_text_each(docs: DataFrame) -> DataFrame:
     return materialise(rows.groupBy("doc_id").agg(F.min("text").alias("text")))
 
 
+def with_class(embedded: DataFrame, keys: DataFrame) -> DataFrame:
+    """Every embedded document with its class of equal texts; the copies of a text that has
+    many do not meet in one task."""
+    hot = keys.where(F.col("copies") > HOT_COPIES)
+    if not 0 < hot.count() <= BROADCAST_ROWS:
+        return embedded.join(keys, "words_key")
+    known = embedded.join(F.broadcast(hot), "words_key")
+    rest = embedded.join(F.broadcast(hot.select("words_key")), "words_key", "left_anti")
+    return known.unionByName(rest.join(keys.where(F.col("copies") <= HOT_COPIES), "words_key"))
+
+
+@settled
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = 0.9999) -> DataFrame:
     """doc_id, class_id, n_links of every document.
 
@@ -408,9 +436,18 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     texts = one_text_each(docs)
     ids = texts.select("doc_id")
     embedded = materialise(embed_documents(texts))
-    keys = embedded.groupBy("words_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    classed = materialise(embedded.join(keys, "words_key").select("doc_id", "id", "copies", F.when(F.col("doc_id") == F.col("id"), F.col("embedding")).alias("embedding")))
-    classes = classed.where("doc_id = id").select("id", "copies", "embedding")
+    keys = materialise(
+        embedded.groupBy("words_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    )
+    classed = materialise(
+        with_class(embedded, keys).select(
+            "doc_id",
+            "id",
+            "copies",
+            *[F.when(F.col("doc_id") == F.col("id"), F.col(c)).alias(c) for c in ("embedding", "brief")],
+        )
+    )
+    classes = classed.where("doc_id = id").select("id", "copies", "embedding", "brief")
     found = cells(classes, recall, threshold)
     sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     members = materialise(
@@ -435,5 +472,8 @@ def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     """The documents without those whose class has a smaller doc_id; rows without a doc_id
     stay."""
     found = jaccard_join(docs, threshold, recall)
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti").select(*docs.columns)
+    name = "gone_id"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias(name))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti").select(*docs.columns)

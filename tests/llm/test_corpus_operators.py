@@ -74,6 +74,7 @@ def test_join_equals_brute_force(spark):
 
 def test_large_group_goes_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(J, "BUCKET", 16)
+    monkeypatch.setattr(J, "CELL", 16)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(80)]
     texts = []
@@ -88,6 +89,33 @@ def test_large_group_goes_in_blocks(spark, monkeypatch):
     assert [got[i]["n_links"] for i in range(len(texts))] == count
 
 
+def test_components_of_random_graphs(spark):
+    rng = random.Random(8)
+    for count, links in ((2, 1), (60, 40), (200, 190), (90, 400)):
+        pairs = [(rng.randrange(count), rng.randrange(count)) for _ in range(links)] + [(i, i + 1) for i in range(300, 340)]
+        label = {v: v for pair in pairs for v in pair if pair[0] != pair[1]}
+        for _ in label:
+            for a, b in pairs:
+                if a != b:
+                    label[a] = label[b] = min(label[a], label[b])
+        got = J.components(spark.createDataFrame(pairs, "id long, root long")).collect()
+        assert {r["id"]: r["root"] for r in got} == label and len(got) == len(label)
+
+
+def test_copies_and_splits_lose_no_link(spark, monkeypatch):
+    """Texts with many copies are classed apart, and buckets are split again."""
+    monkeypatch.setattr(J, "HOT_COPIES", 3)
+    monkeypatch.setattr(J, "BUCKET", 4)
+    texts = corpus(6, 60)
+    texts += texts[:1] * 9 + texts[5:7] * 5
+    docs = documents(spark, texts).withColumnRenamed("extra", "gone_id")
+    got = {r["doc_id"]: r for r in J.jaccard_join(docs).collect()}
+    root, count = brute_force(texts)
+    assert [got[i]["class_id"] for i in range(len(texts))] == root
+    assert [got[i]["n_links"] for i in range(len(texts))] == count
+    assert sorted(r["doc_id"] for r in J.one_of_each_class(docs).collect()) == sorted(set(root))
+
+
 def test_empty_and_repeated_rows(spark):
     assert J.jaccard_join(documents(spark, [])).count() == 0
     alone = documents(spark, ["one text of five words", "nothing like it at all here"])
