@@ -15,7 +15,9 @@ Defined results: a vector that is null, empty, or holds null or non-finite compo
 takes no part; missing trailing components count as 0; a row with the query's own id is
 never its candidate; a query id that occurs several times is asked once, with its smallest
 vector; repeated candidate rows are ranked one after the other; fewer than k candidates
-give all; an empty table gives no rows; other columns are ignored.
+give all; an empty table gives no rows; other columns are ignored.  Vectors whose inner
+products might not fit a score of 64 bits (components of some 1.5 million and more at 64
+dimensions) are refused with a ValueError, since no right score can be returned.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, settled
 
 BLOCK_ROWS = 4_096
 QUERY_ROWS = 512
@@ -155,6 +157,7 @@ def search_block(
     return pd.DataFrame({"query_id": q_ids[rows[keep]], "vec_id": ids[keep], "score": scores[keep].astype(np.int64)})
 
 
+@settled
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k greatest inner products of every query.
 
@@ -164,11 +167,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     out_type = "query_id long, vec_id long, score long"
     ints = integer_vectors(vectors)
     asked = integer_vectors(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    seen = ints.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
-    seen_q = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    measures = F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"), F.max(largest).alias("most")
+    seen, seen_q = ints.agg(*measures).first(), asked.agg(*measures).first()
     if not seen["n"] or not seen_q["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = max(seen["width"], seen_q["width"])
+    if seen["most"] * seen_q["most"] * width >= 2.0**63:
+        raise ValueError("inner products of these vectors may not fit 64 bits")
     rotation = spark.sparkContext.broadcast(rotation_of(ints, width))
 
     n_blocks = -(-seen["n"] // BLOCK_ROWS)
@@ -202,13 +208,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     asked_blocks = materialise(
         asked_blocks.mapInPandas(with_floor, "q_ids binary, q_data binary, floor binary, need double")
     )
-    # A block of vectors meets every block of queries that its longest vector may serve.
+    # A block of vectors meets every block of queries that its longest vector may serve; which
+    # these are is settled on names and bounds alone, before any block moves.
     slots = asked_blocks.count()
-    keyed = asked_blocks.withColumn("g", F.pmod(F.xxhash64("q_ids"), F.lit(slots)).cast("int"))
-    pairs = (
-        blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-        .join(keyed, "g")
+    slot = F.pmod(F.xxhash64("q_ids"), F.lit(slots)).cast("int")
+    keyed = asked_blocks.withColumns({"q": F.xxhash64("q_ids"), "g": slot})
+    named = blocks.withColumn("b", F.xxhash64("ids"))
+    wanted = (
+        named.select("b", "longest", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("g"))
+        .join(keyed.select("q", "g", "need"), "g")
         .where(F.col("longest") * (1 + 1e-9) >= F.col("need"))
+        .select("b", "q")
+    )
+    pairs = (
+        wanted.join(named.select("b", "ids", "data"), "b")
+        .join(keyed.select("q", "q_ids", "q_data", "floor"), "q")
         .select("ids", "data", "q_ids", "q_data", "floor")
     )
 

@@ -167,6 +167,13 @@ def test_top_k_equals_brute_force(spark):
     assert got == sorted(expected)
 
 
+def test_top_k_refuses_scores_beyond_64_bits(spark):
+    rows = [(0, [3e9, 3e9]), (1, [1e300, 0.0]), (50, [1.0, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(table, table, 2)
+
+
 def test_top_k_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_ROWS", 64)
     monkeypatch.setattr(topk, "QUERY_ROWS", 4)
