@@ -385,12 +385,12 @@ def _prose(rows, doc_id):
 
 
 @query(
-    "select conv_id as doc_id, 1 as n, 'page 1 shows no column at all - every row came back whole' as warning "
-    "from conversations where turn = 0"
+    "select conv_id || '-' || turn as doc_id, 1 as n, "
+    "'page 1 shows no column at all - every row came back whole' as warning from conversations"
 )
 def read_table_warnings(spark, sf_dir):
-    first = _table(spark, sf_dir, "conversations").where("turn = 0")
-    prose = _prose(first, F.col("conv_id")).withColumn("text", F.regexp_replace("text", " +", " "))
+    turns = _table(spark, sf_dir, "conversations")
+    prose = _prose(turns, F.concat_ws("-", "conv_id", "turn")).withColumn("text", F.regexp_replace("text", " +", " "))
     tables = TB.read_table(documents_from_texts(prose))
     return tables.select("doc_id", F.size("warnings").alias("n"), F.get("warnings", F.lit(0)).alias("warning"))
 

@@ -12,7 +12,7 @@ from tallyread.operators.table import read_table
 from tallyread.plans import statements as ST
 from tallyread.plans.explain import ExplainOptions, explain_documents, explain_rows, recurring_cut
 from tallyread.sources import pdf
-from tallyread.sources.documents import Limits, UnreadableDocument, documents_from_texts, open_documents, open_one
+from tallyread.sources.documents import Limits, UnreadableDocument, documents_from_texts, open_documents, open_one, read_files
 from tallyread.sources.pdf import PlacedWord, PlainPdfEngine, pdf_with_pages, pdf_with_text
 from tallyread.streaming.folder import read_folder
 
@@ -231,3 +231,10 @@ def test_entry_module(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert pdf.pdf_with_text([]).startswith("%PDF-1.4")
+
+
+def test_bytes_that_are_not_utf8_are_replaced(spark, tmp_path):
+    (tmp_path / "odd.txt").write_bytes(b"caf\xe9 1,00\nna\xc3\xafve 2,00\n")
+    documents, refused = open_documents(read_files(spark, str(tmp_path)))
+    assert refused.count() == 0
+    assert documents.first()["text"].startswith("caf\ufffd 1,00")
