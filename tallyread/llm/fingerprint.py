@@ -24,6 +24,8 @@ rows give repeated results; other columns are ignored; whole texts are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,9 +122,10 @@ def _gap(h: Column) -> Column:
     return F.log(_unit(_high(h))) * (-1.0 / SAMPLES)
 
 
-def arrivals(ks: Column, limit: Column) -> Column:
-    """Array of (k, h, a): the arrivals below a limit of each term's process.  The first has
-    the bits of k, which are random already, and each other a hash of the bits before it."""
+def arrivals(ks: Column, limit: Column, value: Callable[[Column], Column], kind: str) -> Column:
+    """Array of ``value``, of type ``kind``, of the arrivals (k, h, a) below a limit of each
+    term's process.  The first has the bits of k, which are random already, and each other a
+    hash of the bits before it.  Only each term's latest arrival is kept as (k, h, a)."""
     least = F.exp(limit * float(-SAMPLES)) * float(1 << 32) - 0.5
     first = let(
         least,
@@ -145,15 +148,17 @@ def arrivals(ks: Column, limit: Column) -> Column:
 
     def step(got: Column, _: Column) -> Column:
         return F.when(F.size(got["now"]) == 0, got).otherwise(
-            let(after(got["now"]), lambda n: F.struct(F.concat(got["all"], n).alias("all"), n.alias("now")))
+            F.struct(
+                F.concat(got["all"], F.transform(got["now"], value)).alias("all"), after(got["now"]).alias("now")
+            )
         )
 
     # Their number is Poisson distributed; more than this many in a row do not happen.
     mean = limit * float(SAMPLES)
-    most = F.ceil(mean + F.sqrt(mean) * 9.0 + 16.0).cast("int")
+    most = F.ceil(mean + F.sqrt(mean) * 9.0 + 17.0).cast("int")
     return F.aggregate(
         F.sequence(F.lit(1), most),
-        let(first, lambda f: F.struct(f.alias("all"), f.alias("now"))),
+        F.struct(F.array().cast(f"array<{kind}>").alias("all"), first.alias("now")),
         step,
         lambda got: got["all"],
     )
@@ -176,11 +181,8 @@ def _weighted(k: Column, w: Column, j: Column, a: Column) -> Column:
 
 def every_key(k: Column, w: Column) -> Column:
     """Keys of all samples of one term."""
-    early = F.sort_array(
-        F.transform(
-            arrivals(F.array(k), F.lit(END)), lambda x: F.struct(_chosen(x["h"]).alias("j"), x["a"].alias("a"))
-        )
-    )
+    placed = lambda x: F.struct(_chosen(x["h"]).alias("j"), x["a"].alias("a"))
+    early = F.sort_array(arrivals(F.array(k), F.lit(END), placed, "struct<j:bigint,a:double>"))
     numbers = F.sequence(F.lit(0).cast("long"), F.lit(SAMPLES - 1).cast("long"))
 
     def with_rest(s: Column) -> Column:
@@ -211,7 +213,8 @@ def drawn(hashes: Column, limited: bool = True) -> Column:
         return F.flatten(F.transform(counts, lambda x: every_key(x["k"], x["w"])))
 
     def below(limit: Column, singles: Column, repeated: Column) -> Column:
-        early = F.transform(arrivals(singles, limit), lambda x: _key(_chosen(x["h"]), x["k"], F.log(x["a"])))
+        keyed = lambda x: _key(_chosen(x["h"]), x["k"], F.log(x["a"]))
+        early = arrivals(singles, limit, keyed, "bigint")
         bound = _scaled(F.log(limit))
         value = lambda x: F.shiftrightunsigned(x, SAMPLE_BITS).bitwiseAND(F.lit((1 << VALUE_BITS) - 1))
         return _least(F.concat(early, let(bound, lambda b: F.filter(repeated, lambda x: value(x) < b))))
