@@ -384,15 +384,27 @@ def _prose(rows, doc_id):
     return rows.select(doc_id.alias("doc_id"), F.lit("turn").alias("name"), F.regexp_replace("text", "[\"\\t;|,]| {2,}", " ").alias("text"))
 
 
+def _page_warnings(prose):
+    tables = TB.read_table(documents_from_texts(prose.withColumn("text", F.regexp_replace("text", " +", " "))))
+    return tables.select("doc_id", F.size("warnings").alias("n"), F.get("warnings", F.lit(0)).alias("warning"))
+
+
+@query(
+    "select conv_id as doc_id, 1 as n, 'page 1 shows no column at all - every row came back whole' as warning "
+    "from conversations where turn = 0"
+)
+def read_table_warnings(spark, sf_dir):
+    first = _table(spark, sf_dir, "conversations").where("turn = 0")
+    return _page_warnings(_prose(first, F.col("conv_id")))
+
+
 @query(
     "select conv_id || '-' || turn as doc_id, 1 as n, "
     "'page 1 shows no column at all - every row came back whole' as warning from conversations"
 )
-def read_table_warnings(spark, sf_dir):
+def read_table_warnings_turns(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations")
-    prose = _prose(turns, F.concat_ws("-", "conv_id", "turn")).withColumn("text", F.regexp_replace("text", " +", " "))
-    tables = TB.read_table(documents_from_texts(prose))
-    return tables.select("doc_id", F.size("warnings").alias("n"), F.get("warnings", F.lit(0)).alias("warning"))
+    return _page_warnings(_prose(turns, F.concat_ws("-", "conv_id", "turn")))
 
 
 @query(
