@@ -55,8 +55,9 @@ MARGIN = 0.15
 DEPTH = 3
 #: Copies of one text above which they are classed apart from the rest.
 HOT_COPIES = 500
-#: Cells' members up to which they are broadcast to the scan of texts, and texts with more
-#: copies than ``HOT_COPIES`` up to which they are broadcast to the scan of their copies.
+#: Cells' members up to which they are broadcast to the scan of texts, texts with more copies
+#: than ``HOT_COPIES`` up to which they are broadcast to the scan of their copies, and ids of
+#: documents that go up to which they are broadcast to the scan of all documents.
 BROADCAST_ROWS = 200_000
 _CACHED_WORDS = 200_000
 
@@ -476,4 +477,6 @@ def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     while name in map(str.lower, docs.columns):
         name += "_"
     gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias(name))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)  # no text is moved
     return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti").select(*docs.columns)
