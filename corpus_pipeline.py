@@ -43,7 +43,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL cannot express the stages; the tests hold them against plain Python.
+#: SQL cannot express the stages; the tests hold near duplicates and packing against brute force,
+#: the other two against their operators' own functions.
 ORACLE_SQL = None
 
 
