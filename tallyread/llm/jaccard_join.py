@@ -15,7 +15,10 @@ sets' Jaccard similarity reaches the threshold.
    repeat until a pair at the threshold is met with probability ``recall``.
 4. Sets that a bucket finds near (estimate above the threshold less ``MARGIN``) are joined
    to cells: the connected components, of which true links never leave one.
-5. Each cell compares its members' whole n-gram sets exactly, in blocks.
+5. Cells of more than ``CELL`` sets mostly hang together by buckets taken as they are (texts
+   with a common line).  They are taken apart: sets meet again where ``TOGETHER`` values of
+   the embedding agree at once, which sets with only a line in common hardly do.
+6. Each cell compares its members' whole n-gram sets exactly, in blocks.
 
 Nothing emits pairs: buckets and cells give one row per member (the member, its number of
 links, the smallest member that it is connected to), so a group of n near copies costs n
@@ -53,12 +56,15 @@ BUCKET, CELL = 400, 800
 MARGIN = 0.15
 #: Splits after the first; what is still large then is taken as it is.
 DEPTH = 3
+#: Values that must agree at once for sets of a large cell to meet again.
+TOGETHER = 8
 #: Copies of one text above which they are classed apart from the rest.
 HOT_COPIES = 500
-#: Cells' members up to which they are broadcast to the scan of texts, texts with more copies
-#: than ``HOT_COPIES`` up to which they are broadcast to the scan of their copies, and ids of
-#: documents that go up to which they are broadcast to the scan of all documents.
-BROADCAST_ROWS = 200_000
+#: Texts with more copies than ``HOT_COPIES`` up to which they are broadcast to the scan of their
+#: copies, and ids of documents that go up to which they are broadcast to the scan of all
+#: documents; rows of a part in which cells' members are broadcast to the scan of texts, and
+#: the number of parts beyond which texts are shuffled instead.
+BROADCAST_ROWS, BROADCAST_PARTS = 200_000, 8
 _CACHED_WORDS = 200_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -125,6 +131,18 @@ def runs_for(recall: float, threshold: float, chosen: float, depth: int) -> int:
     return max(1, math.ceil(math.log(1.0 - recall) / math.log(1.0 - meet)))
 
 
+def bands_for(loss: float, threshold: float) -> int:
+    """Choices of ``TOGETHER`` places after which a pair at the threshold has met in one, except
+    with the given probability; the choices share the ``EMBEDDING`` values."""
+    agree = np.arange(EMBEDDING + 1)
+    share = np.array([math.comb(EMBEDDING, int(m)) * threshold**m * (1.0 - threshold) ** (EMBEDDING - m) for m in agree])
+    meet = np.array([math.comb(int(m), TOGETHER) / math.comb(EMBEDDING, TOGETHER) for m in agree])
+    bands = 1
+    while float(share @ (1.0 - meet) ** bands) > loss:
+        bands += 1
+    return bands
+
+
 def paths_of(values: np.ndarray, paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Paths that sets go down from a node each: (row, child path) of all choices."""
     place = (np.arange(EMBEDDING, dtype=np.uint64) << np.uint64(32))[None, :]
@@ -280,6 +298,15 @@ def _near_in_bucket(least_equal: int) -> Callable:
     return work
 
 
+def _near_sets(buckets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(id, root) by the sets that are near in buckets of (key, id)."""
+    # The lowest bytes agree wherever the values do, so that no near pair is lost by them.
+    rows = buckets.join(classes.select("id", "brief"), "id").select("key", "id", "brief")
+    out = pa.schema([("id", pa.int64()), ("root", pa.int64())])
+    least_equal = math.ceil((threshold - MARGIN) * EMBEDDING)
+    return _per_group(rows, _near_in_bucket(least_equal), out, "id long, root long")
+
+
 def cells(classes: DataFrame, recall: float, threshold: float) -> DataFrame:
     """(id, root): cells of classes that chosen paths find near one another.
 
@@ -331,15 +358,49 @@ def cells(classes: DataFrame, recall: float, threshold: float) -> DataFrame:
         taken.append(large.join(dense, "group", "left_semi"))
         kept = judged.where(F.coalesce("most", F.lit(0)) * 2 < F.col("size")).select(F.col("group").alias("parent"))
         frontier = split.join(kept, "parent", "left_semi").select("group", "id")
-    # The lowest bytes agree wherever the values do, so that no near pair is lost by them.
-    rows = reduce(DataFrame.unionByName, small).join(classes.select("id", "brief"), "id").select("key", "id", "brief")
-    out = pa.schema([("id", pa.int64()), ("root", pa.int64())])
-    least_equal = math.ceil((threshold - MARGIN) * EMBEDDING)
-    edges = [_per_group(rows, _near_in_bucket(least_equal), out, "id long, root long")]
+    edges = [_near_sets(reduce(DataFrame.unionByName, small), classes, threshold)]
     edges += [large.select("id", "root") for large in taken]
     return components(reduce(DataFrame.unionByName, edges))
 
 
+def taken_apart(found: DataFrame, classes: DataFrame, loss: float, threshold: float) -> DataFrame:
+    """(id, root) of ``cells`` with those of more than ``CELL`` members taken apart.
+
+    ``found`` and ``classes`` are written tables.  A bucket of more than ``BUCKET`` sets that
+    agree in all values of a band is taken as near one another as it is.
+    """
+    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    sized = materialise(found.join(sizes, "root").select("id", "root", "size"))
+    large = sized.where(F.col("size") > CELL)
+    if large.isEmpty():
+        return found
+    chosen = np.random.default_rng(1)
+    places = [np.sort(chosen.choice(EMBEDDING, TOGETHER, replace=False)) for _ in range(bands_for(loss, threshold))]
+    starts = np.arange(1, len(places) + 1, dtype=np.uint64) * _PRIME
+    schema = pa.schema([("group", pa.int64()), ("id", pa.int64())])
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1_024):
+                ids = part.column(0)
+                values = _embeddings(part.column(1)).astype(np.uint64)
+                root = part.column(2).to_numpy().view(np.uint64)
+                for start, at in zip(starts, places):
+                    key = mix(root + start)
+                    for place in at:
+                        key = mix(key * _PRIME + values[:, place])
+                    yield pa.RecordBatch.from_arrays([_signed(key), ids], schema=schema)
+
+    vectors = large.select("id", "root").join(classes.select("id", "embedding"), "id").select("id", "embedding", "root")
+    met = materialise(vectors.mapInArrow(bands, "group long, id long"))
+    buckets = met.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("root")).where("size > 1")
+    dealt = materialise(met.join(buckets, "group"))
+    small = dealt.where(F.col("size") <= BUCKET).select(F.col("group").alias("key"), "id")
+    near = _near_sets(small, classes, threshold)
+    edges = near.unionByName(dealt.where(F.col("size") > BUCKET).select("id", "root"))
+    return sized.where(F.col("size") <= CELL).select("id", "root").unionByName(components(edges))
+
+
 def _exact_in_cell(threshold: float) -> Callable:
     def work(group: pa.Table):
         ids, side = group.column(1).to_numpy(), group.column(2).to_numpy()
@@ -375,6 +436,15 @@ def _exact_in_cell(threshold: float) -> Callable:
     return work
 
 
+def in_parts(rows: DataFrame, key: str) -> list[DataFrame]:
+    """``rows``, a written table, dealt by ``key`` into parts that are each small enough to be
+    broadcast; one part that is not, where there would be more than ``BROADCAST_PARTS``."""
+    parts = max(1, math.ceil(rows.count() / BROADCAST_ROWS))
+    if parts > BROADCAST_PARTS:
+        return [rows]
+    return [F.broadcast(rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i)) for i in range(parts)]
+
+
 def linked(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(id, root, links) of the members of cells: the smallest id that true links connect
     to each, and the number of documents that it is linked to.
@@ -382,7 +452,6 @@ def linked(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     ``members`` is a written table of id, cell, size (of the cell) and copies; ``texts`` has one
     row of each doc_id.
     """
-    small = members.count() <= BROADCAST_ROWS
     out = pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("size", pa.int64()), ("copies", pa.int64()), ("grams", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +462,15 @@ def linked(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 columns = [part.column(i) for i in range(4)] + [pa.array(grams, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    rows = texts.join(F.broadcast(members) if small else members, texts["doc_id"] == members["id"])
+    # All parts meet the texts in one scan, in which no text is moved.
+    member = F.struct("cell", "id", "size", "copies")
+    parts = in_parts(members.select(F.col("id").alias("member_id"), member.alias("member")), "member_id")
+    rows = texts
+    for i, part in enumerate(parts):
+        part = part.select(F.col("member_id").alias(f"id_{i}"), F.col("member").alias(f"member_{i}"))
+        rows = rows.join(part, F.col("doc_id") == F.col(f"id_{i}"), "left" if len(parts) > 1 else "inner")
+    own = F.coalesce(*[F.col(f"member_{i}") for i in range(len(parts))])
+    rows = rows.select(own.alias("member"), "text").where("member is not null").select("member.*", "text")
     with_sets = rows.select("cell", "id", "size", "copies", "text").mapInArrow(
         sets, "cell long, id long, size long, copies long, grams binary"
     )
@@ -449,7 +526,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
         )
     )
     classes = classed.where("doc_id = id").select("id", "copies", "embedding", "brief")
-    found = cells(classes, recall, threshold)
+    # Either step may lose half of what may be lost.
+    allowed = (1.0 - recall) / 2
+    found = taken_apart(materialise(cells(classes, 1.0 - allowed, threshold)), classes, allowed, threshold)
     sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     members = materialise(
         found.join(sizes, "root")

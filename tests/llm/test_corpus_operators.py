@@ -116,6 +116,39 @@ def test_copies_and_splits_lose_no_link(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in J.one_of_each_class(docs).collect()) == sorted(set(root))
 
 
+def common_lines(seed, groups, copies):
+    """Texts of which a half is one line common to all, in groups of near copies."""
+    rng = random.Random(seed)
+    line, texts = [f"line{i}" for i in range(60)], []
+    for group in range(groups):
+        base = line + [f"own{group}x{i}" for i in range(60)]
+        for _ in range(copies):
+            edited = base[:]
+            edited[rng.randrange(120)] = f"edit{rng.randrange(10**9)}"
+            texts.append(" ".join(edited))
+    return texts
+
+
+def test_cells_by_a_common_line_are_taken_apart(spark, monkeypatch):
+    """Sets are copied for each block of their cell, so a cell must not hold all texts with one line."""
+    monkeypatch.setattr(J, "BUCKET", 8)
+    monkeypatch.setattr(J, "CELL", 8)
+    seen = []
+    linked = J.linked
+
+    def watched(members, texts, threshold):
+        seen.append(max(r["size"] for r in members.select("size").collect()))
+        return linked(members, texts, threshold)
+
+    monkeypatch.setattr(J, "linked", watched)
+    texts = common_lines(4, 30, 4) + corpus(5, 20)
+    got = {r["doc_id"]: r for r in J.jaccard_join(documents(spark, texts)).collect()}
+    root, count = brute_force(texts)
+    assert [got[i]["class_id"] for i in range(len(texts))] == root
+    assert [got[i]["n_links"] for i in range(len(texts))] == count
+    assert seen and seen[0] <= 20
+
+
 def test_empty_and_repeated_rows(spark):
     assert J.jaccard_join(documents(spark, [])).count() == 0
     alone = documents(spark, ["one text of five words", "nothing like it at all here"])
