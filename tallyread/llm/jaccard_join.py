@@ -61,9 +61,9 @@ TOGETHER = 8
 #: Copies of one text above which they are classed apart from the rest.
 HOT_COPIES = 500
 #: Texts with more copies than ``HOT_COPIES`` up to which they are broadcast to the scan of their
-#: copies, and ids of documents that go up to which they are broadcast to the scan of all
-#: documents; rows of a part in which cells' members are broadcast to the scan of texts, and
-#: the number of parts beyond which texts are shuffled instead.
+#: copies; rows of a part in which cells' members are broadcast to the scan of texts, and ids of
+#: documents that go to the scan of all documents, and the number of parts beyond which texts
+#: are shuffled instead.
 BROADCAST_ROWS, BROADCAST_PARTS = 200_000, 8
 _CACHED_WORDS = 200_000
 
@@ -556,6 +556,7 @@ def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     while name in map(str.lower, docs.columns):
         name += "_"
     gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias(name))
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)  # no text is moved
-    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti").select(*docs.columns)
+    kept = docs
+    for part in in_parts(gone, name):
+        kept = kept.join(part, kept["doc_id"].cast("long") == part[name], "left_anti")
+    return kept.select(*docs.columns)

@@ -149,6 +149,25 @@ def test_cells_by_a_common_line_are_taken_apart(spark, monkeypatch):
     assert seen and seen[0] <= 20
 
 
+def test_no_text_moves_for_more_rows_than_one_broadcast(spark, monkeypatch):
+    """Cells' members and ids that go are broadcast in parts, and nothing changes by it."""
+    texts = corpus(7, 60)
+    root, count = brute_force(texts)
+    docs = documents(spark, texts)
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 20)
+    got = {r["doc_id"]: r for r in J.jaccard_join(docs).collect()}
+    assert [got[i]["class_id"] for i in range(len(texts))] == root
+    assert [got[i]["n_links"] for i in range(len(texts))] == count
+    assert 20 < len(texts) - len(set(root)) <= 20 * J.BROADCAST_PARTS
+    kept = J.one_of_each_class(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+    monkeypatch.setattr(J, "BROADCAST_PARTS", 1)
+    kept = J.one_of_each_class(docs)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+
+
 def test_empty_and_repeated_rows(spark):
     assert J.jaccard_join(documents(spark, [])).count() == 0
     alone = documents(spark, ["one text of five words", "nothing like it at all here"])
