@@ -7,11 +7,11 @@ rank file, whose merges are recovered on the driver.
 Encoding works on *chunks*.  No piece of the split pattern begins before white space and
 ends after it unless it is white space itself, so a text may be cut wherever white space
 follows something else: its pieces are those of its chunks, each a run of white space and
-what follows it.  A column of texts is split and its distinct chunks are found by Arrow;
-each worker keeps the ids of the latest chunks, hands only unseen ones to the library
-(without the marks at their ends, which are pieces of their own after a letter or digit),
-and gathers the ids of all chunks at once.  Only texts with longer runs of white space are
-cut by a pattern in Python.
+what follows it.  A column of texts is split and its distinct chunks are found by Arrow,
+without the marks at their ends, which are pieces of their own after a letter or digit.
+Each worker keeps the ids of the chunks that most runs had, hands only unseen ones to the
+library, and gathers the ids of all chunks at once.  Only texts with longer runs of white
+space are cut by a pattern in Python.
 
 Defined results: null text is the empty text (no ids); repeated rows give repeated
 results; other columns are ignored; texts are never cut.
@@ -40,11 +40,13 @@ SPLIT_PATTERN = (
 )
 #: Fixed value: the white space of the split pattern.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Chunks, and ids of chunks, beyond which a worker keeps only the latest run's, and the
+#: Chunks, and ids of chunks, beyond which a worker keeps only the most used half, and the
 #: length of the longest of these.
 CACHE_CHUNKS = 250_000
 CACHE_IDS = 4_000_000
 LONG_CHUNK = 64
+#: Chunks that the library gets as one text: more of them leave the processor's caches.
+TOGETHER = 128
 #: Rows, and bytes of text unless one row has more, of a run that is encoded at once.
 RUN_ROWS = 2_048
 RUN_BYTES = 4 << 20
@@ -158,7 +160,7 @@ class Codec:
         self.added = [token.content for token in added]
         self.known: dict[str, int] = {}
         self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, "<u4")
+        self.ids, self.runs = np.zeros(0, "<u4"), np.zeros(0, np.int64)
         back = {letter: byte for byte, letter in enumerate(byte_to_char())}
         vocabulary = self.tokenizer.get_vocab()
         self.token_bytes = [b""] * (max(vocabulary.values(), default=-1) + 1)
@@ -171,9 +173,9 @@ class Codec:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.token_bytes), dtype=np.uint8)
 
-    def _add(self, chunks: pa.Array, count: np.ndarray, ids: np.ndarray) -> None:
-        """New chunks with the numbers of their ids, and all these ids in order."""
-        self.known.update(zip(strings(chunks), range(len(self.at), len(self.at) + len(chunks))))
+    def _add(self, count: np.ndarray, ids: np.ndarray) -> None:
+        """More slots, by the numbers of their ids, and all these ids in order.  Those after the
+        ones of known chunks last for a run."""
         self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
         self.ids = np.concatenate([self.ids, ids])
@@ -190,54 +192,69 @@ class Codec:
         places += np.arange(len(places))
         return self.ids[places], count
 
-    def _encode_fresh(self, fresh: pa.Array) -> None:
-        """Chunks that the library must encode.  Those with white space before and none
+    def _learn(self, fresh: pa.Array) -> np.ndarray:
+        """Slots of chunks that the library must encode.  Those with white space before and none
         after go as one text and are told apart by the lengths of their tokens' bytes."""
         joins = pc.match_substring_regex(fresh, _JOINS)
-        together, alone = fresh.filter(joins), fresh.filter(pc.invert(joins))
-        for first in range(0, len(together), 16_384):
-            part = together.slice(first, 16_384)
-            got = self.tokenizer.encode_batch_fast(["".join(strings(part))], add_special_tokens=False)
-            ids = np.array(got[0].ids, dtype="<u4")
-            ends = np.cumsum(pc.binary_length(part).to_numpy())
-            stops = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-            self._add(part, np.diff(stops, prepend=0), ids)
-        if len(alone):
-            found = self.tokenizer.encode_batch_fast(strings(alone), add_special_tokens=False)
-            lists = [np.array(got.ids, dtype="<u4") for got in found]
-            self._add(alone, np.array([len(x) for x in lists]), np.concatenate(lists))
+        together, alone = fresh.filter(joins), strings(fresh.filter(pc.invert(joins)))
+        names, parts = strings(together), [np.zeros(0, "<u4")]
+        for first in range(0, len(names), TOGETHER):
+            text = "".join(names[first : first + TOGETHER])
+            got = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            parts.append(np.array(got[0].ids, dtype="<u4"))
+        ids = np.concatenate(parts)
+        ends = np.cumsum(pc.binary_length(together).to_numpy())
+        stops = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+        found = self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)
+        lists = [np.array(got.ids, dtype="<u4") for got in found]
+        count = np.concatenate([np.diff(stops, prepend=0), np.array([len(x) for x in lists], np.int64)])
+        own = np.arange(len(self.at), len(self.at) + len(count))
+        self.known.update(zip(names + alone, own.tolist()))
+        self._add(count, np.concatenate([ids, *lists]))
+        self.runs = np.concatenate([self.runs, np.zeros(len(count), np.int64)])
+        return own[np.argsort(np.argsort(pc.invert(joins), kind="stable"))]
 
     def _slots(self, chunks: pa.Array) -> np.ndarray:
-        """Slots of distinct chunks.  One that ends in marks after a letter or digit is made of
-        the chunk without them and of the marks; what is new besides goes to the library."""
-        slots = self._found(chunks)
-        new = np.flatnonzero(slots < 0)
-        if len(new):
-            unseen = chunks.take(pa.array(new))
-            bodies = pc.ascii_rtrim(unseen, characters=punctuation)
-            marked = pc.match_substring_regex(bodies, _LETTER_ENDS).to_numpy(zero_copy_only=False)
-            marked &= pc.not_equal(pc.binary_length(bodies), pc.binary_length(unseen)).to_numpy(zero_copy_only=False)
-            split, whole = pa.array(marked), pa.array(~marked)
-            marks = suffixes(unseen.filter(split), pc.binary_length(bodies.filter(split)).to_numpy())
-            wanted = pa.concat_arrays([unseen.filter(whole), bodies.filter(split), marks]).dictionary_encode()
-            self._encode_fresh(wanted.dictionary.filter(pa.array(self._found(wanted.dictionary) < 0)))
-            got = self._found(wanted.dictionary)[wanted.indices.to_numpy()]
-            plain, several = int((~marked).sum()), int(marked.sum())
-            slots[new[~marked]] = got[:plain]
-            slots[new[marked]] = np.arange(len(self.at), len(self.at) + several)
-            ids, count = self._gathered(got[plain:].reshape(2, several).T.ravel())
-            self._add(unseen.filter(split), count.reshape(-1, 2).sum(1), ids)
+        """Slots of distinct chunks.  One that ends in marks after a letter or digit is made, for
+        this run, of the chunk without them and of the marks; what is new goes to the library."""
+        bodies = pc.ascii_rtrim(chunks, characters=punctuation)
+        longer = pc.not_equal(pc.binary_length(bodies), pc.binary_length(chunks)).to_numpy(zero_copy_only=False)
+        marked = longer.copy()
+        marked[longer] = pc.match_substring_regex(bodies.filter(pa.array(longer)), _LETTER_ENDS)
+        split, whole = pa.array(marked), pa.array(~marked)
+        marks = suffixes(chunks.filter(split), pc.binary_length(bodies.filter(split)).to_numpy())
+        wanted = pa.concat_arrays([chunks.filter(whole), bodies.filter(split), marks]).dictionary_encode()
+        found = self._found(wanted.dictionary)
+        new = found < 0
+        if new.any():
+            found[new] = self._learn(wanted.dictionary.filter(pa.array(new)))
+        self.runs[found] += 1
+        got = found[wanted.indices.to_numpy()]
+        plain, several = int((~marked).sum()), int(marked.sum())
+        slots = np.empty(len(chunks), np.int64)
+        slots[~marked] = got[:plain]
+        slots[marked] = np.arange(len(self.at), len(self.at) + several)
+        ids, count = self._gathered(got[plain:].reshape(2, several).T.ravel())
+        self._add(count.reshape(-1, 2).sum(1), ids)
         return slots
 
-    def _keep(self, slots: np.ndarray) -> None:
-        """Of too many chunks only those of the latest run stay, without long ones."""
+    def _keep(self) -> None:
+        """The slots of a run alone go.  Of too many chunks the half stays that most runs had, of
+        equals the latest, without long ones."""
+        if len(self.at) > len(self.known):
+            self.ids = self.ids[: self.at[len(self.known)]]
+            self.at, self.count = self.at[: len(self.known)], self.count[: len(self.known)]
         if len(self.known) > CACHE_CHUNKS or len(self.ids) > CACHE_IDS:
-            used = np.zeros(len(self.at), bool)
-            used[slots] = True
-            kept = [(c, slot) for c, slot in self.known.items() if used[slot] and len(c) <= LONG_CHUNK]
-            ids, count = self._gathered(np.array([slot for _, slot in kept], np.int64))
-            self.known, self.at, self.count, self.ids = {}, self.at[:0], self.count[:0], self.ids[:0]
-            self._add(pa.array([c for c, _ in kept], pa.string()), count, ids)
+            names = list(self.known)
+            short = np.fromiter(map(len, names), np.int64, len(names)) <= LONG_CHUNK
+            order = np.argsort(self.runs, kind="stable")[::-1]
+            order = order[short[order]][: CACHE_CHUNKS // 2]
+            kept = np.sort(order[np.cumsum(self.count[order]) <= CACHE_IDS // 2])
+            ids, count = self._gathered(kept)
+            self.known = {names[slot]: at for at, slot in enumerate(kept.tolist())}
+            self.runs = self.runs[kept] // 2
+            self.at, self.count, self.ids = self.at[:0], self.count[:0], self.ids[:0]
+            self._add(count, ids)
 
     def _encode_whole(self, text: str):
         """A text with added tokens, by a tokenizer that is made when the first one comes."""
@@ -271,32 +288,26 @@ class Codec:
         slots_of = self._slots(table.dictionary)[table.indices.to_numpy()]
         slots = slots_of[places]
         slots[bounds[:-1]] = slots_of[len(found) + np.searchsorted(first, places[bounds[:-1]])]
-        kept = slots
         if len(apart):
             parts, used = np.split(slots, bounds[1:-1]), 0
             cut_slots = slots_of[len(found) + len(first) :][cut.indices.to_numpy()]
-            at, count, ids = [self.at], [self.count], [self.ids]
+            lists = []
             for i in apart:
                 text = texts[i].as_py()
                 if special[i]:
-                    got = self._encode_whole(text)
-                    parts[i] = np.array([sum(map(len, at))])
-                    at.append(np.array([sum(map(len, ids))]))
-                    count.append(np.array([len(got.ids)]))
-                    ids.append(np.array(got.ids, dtype="<u4"))
+                    parts[i] = np.array([len(self.at) + len(lists)])
+                    lists.append(np.array(self._encode_whole(text).ids, dtype="<u4"))
                 else:
                     long = len(_CHUNK.findall(text))
                     parts[i] = cut_slots[used : used + long]
                     used += long
             slots = np.concatenate(parts)
             bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            known = self.at, self.count, self.ids
-            self.at, self.count, self.ids = (np.concatenate(x) for x in (at, count, ids))
+            if lists:
+                self._add(np.array([len(x) for x in lists]), np.concatenate(lists))
         out, count = self._gathered(slots)
-        if len(apart):
-            self.at, self.count, self.ids = known
         ends = np.concatenate([[0], np.cumsum(count)])
-        self._keep(kept)
+        self._keep()
         return out, ends[bounds]
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -63,6 +63,30 @@ def test_codec_forgets_and_learns_again(monkeypatch):
             assert list(np.frombuffer(ids, "<u4")) == own.encode(text, add_special_tokens=False).ids, text
 
 
+def test_codec_keeps_what_most_runs_have(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 60)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, codec = Tokenizer.from_file(path), bpe.Codec(bpe.tokenizer_json(path), special=True)
+    asked = []
+
+    class Asked:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return own.encode_batch_fast(texts, **options)
+
+    codec.tokenizer = Asked()
+    common = "start" + "".join(f" common{chr(97 + i)}" for i in range(20))
+    for run in range(30):
+        rare = "start" + "".join(f" rare{chr(97 + run)}{chr(97 + i)}{mark}" for i in range(20) for mark in ("", ",", "..."))
+        for text in (common, rare):
+            ids = np.frombuffer(codec.encode([text])[0], "<u4")
+            assert list(ids) == own.encode(text, add_special_tokens=False).ids
+        assert len(codec.known) == len(codec.at) == len(codec.count) <= 60 + 22
+        assert codec.count.sum() == len(codec.ids)
+    assert sum(text.count("common") for text in asked) == 20
+    assert sum(text.count("rare") for text in asked) == 30 * 20
+
+
 def test_offsets_and_split_characters(codec):
     text = "a 한글 😀x"
     found = codec.encode_with_offsets(text)
