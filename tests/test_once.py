@@ -36,6 +36,11 @@ def test_judged_anomalies_read_once(spark, folder):
     assert sorted((r["doc_id"], r["n_flagged"]) for r in query.collect()) == [(7, 0)]
 
 
+def test_contract_reads_each_group_once(spark, folder):
+    """Orders and turns are two readings; joins of the results with documents and failures made more."""
+    assert readings(QUERIES["contract_kit"](spark, folder)) == 2
+
+
 def test_plain_text_collapses_as_any_other(spark):
     texts = ["a b", " a b", "a  b", "a b ", "a\tb", "a b", "a", "", " ", "é b", "~!", "a b\n", "a　"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
